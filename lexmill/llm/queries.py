@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, near_dedup, sharding
+from . import decontaminate, embed_dedup, guessing, langid, line_dedup, mixing, near_dedup, sharding, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,17 +35,59 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs)).select("doc_id", "lang", "language", "lead", "accepted")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filtered(table(spark, sf_dir, "pages")).drop("html")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guessing.secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op6_language": op6_language,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_url_filter": op9_url_filter,
+    "op10_secrets": op10_secrets,
 }
 
 _WEIGHT = "CASE source " + " ".join(f"WHEN '{s}' THEN {w}::DOUBLE" for s, w in mixing.WEIGHTS.items()) + " ELSE 1.0::DOUBLE END"
 
+_LINES = "string_split(text, chr(10))"
+
 ORACLE: dict[str, str] = {
+    "op7_line_dedup": f"""
+WITH l AS (
+  SELECT doc_id, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS i FROM documents
+), s AS (
+  SELECT doc_id, i, line, lead(line) OVER o AS next_line, lead(i) OVER o AS next_i
+  FROM l WHERE line <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), w AS (
+  SELECT *, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, i) AS k FROM s WHERE next_line IS NOT NULL
+), gone AS (
+  SELECT doc_id, i FROM w WHERE k > 1 UNION SELECT doc_id, next_i FROM w WHERE k > 1
+)
+SELECT l.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL), '') AS text, count(gone.i)::INTEGER AS lines_removed
+FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id
+""",
+    "op9_url_filter": url_filter.sql(),
     "op3_mixing": f"""
 WITH per AS (
   SELECT source AS s, sum(coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), 0))::BIGINT AS tokens FROM documents GROUP BY 1
