@@ -38,7 +38,7 @@ letter magic cookie coffee pepper ginger tiger lion eagle horse tree water fire
 RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))}
 LEET = str.maketrans("013457@$!", "oieastasi")
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
-SHIFTED = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\;',./")
+SHIFTED = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./")
 _PLACE = {c: (r, i) for r, keys in enumerate(KEYBOARD) for i, c in enumerate(keys)}
 NEIGHBOURS = {c: {d: (q - r, j - i) for d, (q, j) in _PLACE.items() if (q == r and abs(j - i) == 1) or (q == r + 1 and j - i in (0, -1)) or (q == r - 1 and j - i in (0, 1))} for c, (r, i) in _PLACE.items()}
 DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)?\d\d|(?:0[1-9]|1[0-2])([-/._]?)(?:0[1-9]|[12]\d|3[01])\3(?:19|20)?\d\d)\Z")
