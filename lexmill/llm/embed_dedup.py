@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import small_batches, written
 from .textkit import mix, seeds, signed
 
 #: Least cosine of near copies; tables, and hyperplanes in each. At the least cosine a pair shares a table with probability 0.98.
@@ -126,7 +126,7 @@ def duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     vector, one with nulls or without a direction (zero, infinite, NaN) are in no
     group. Rows with the same id are one vector of several values. No rows give none.
     """
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    base = small_batches(vectors).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
     seen = written(base.mapInArrow(_hash_rows, VECTORS), "vectors")
     equal = seen.select("id", "whole", F.min("id").over(Window.partitionBy("whole")).alias("first"))
     # One row for each id and value that no smaller id has.

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .shared import without
-from .textkit import buffers, lower, seeds
+from .shared import small_batches, without
+from .textkit import buffers, lower, seeds, slices
 
 #: Labelled rows a language, at most, that the classifiers are fitted on.
 SAMPLE_ROWS = 600
@@ -24,7 +24,7 @@ FEATURES = 4096
 LENGTH = 15
 ROUNDS = 120
 #: Least lead, in nats of weighted loss, of the nearest codeword over the next; less is ambiguous.
-MARGIN = 0.3
+MARGIN = 0.1
 
 
 class Model(NamedTuple):
@@ -149,7 +149,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", margin: f
     the same names are replaced. With no language in the model nothing is accepted.
     """
     language, lead, accepted = names
-    kept = docs.select(*without(docs, *names))
+    kept = small_batches(docs).select(*without(docs, *names))
     last = kept.columns.index(next(c for c in kept.columns if c.lower() == text_col.lower()))
     named = [*kept.columns, language, lead, accepted]
     plain = kept.toDF(*(f"c{i}" for i in range(len(kept.columns))))
@@ -160,8 +160,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", margin: f
         for batch in batches:
             data, offsets = buffers(lower(batch.column(last).cast(pa.string())))
             which, far, known = [], [], []
-            for i in range(0, batch.num_rows, 256):
-                j = min(i + 256, batch.num_rows)
+            for i, j in slices(offsets, 1 << 19):
                 x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 has = x.any(axis=1)
                 if not model.languages:
@@ -173,6 +172,8 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", margin: f
                     which.append(w)
                     far.append(np.where(has, d, 0.0))
                 known.append(has)
+            if not batch.num_rows:
+                continue
             has, d = np.concatenate(known), np.concatenate(far)
             w = np.where(has, np.concatenate(which), len(model.languages))
             yield pa.record_batch([*batch.columns, tags.take(pa.array(w)), pa.array(d), pa.array(has & (d >= margin))], names=schema.names)

@@ -45,9 +45,21 @@ def without(df: DataFrame, *names: str) -> list[Column]:
     return [df[f"`{c}`"] for c in df.columns if c.lower() not in low]
 
 
+#: Rows in an Arrow batch, at most: a row is a whole document here, and Python holds a batch and what it makes of it.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session sends Python no more than BATCH_ROWS rows at once from now on."""
+    name, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the key, as a long named id, and the text; rows without a key are dropped."""
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
+    return small_batches(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
 
 
 #: Ids up to which a set of rows to be dropped is sent to all executors.
