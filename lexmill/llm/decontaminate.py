@@ -59,19 +59,24 @@ def in_row(w: Words, span: int) -> np.ndarray:
 def overlap(item: np.ndarray, doc: np.ndarray, shift: int) -> tuple[int, int, int] | None:
     """(first word in the item, words, agreeing words) of the best overlap with doc moved by shift.
 
-    Best: agreeing words less four times the others, so that identity stays at 0.8
-    or more; the first of equals. None if too few words agree.
+    Best: most agreeing words of all runs with identity of LEAST_IDENTITY or more,
+    then fewest words, then the first. None if too few words agree.
     """
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-    same = item[lo:hi] == doc[lo + shift : hi + shift]
-    sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])
-    low = np.minimum.accumulate(sums)
-    end = int((sums - low).argmax())
-    begin = int(sums[: end + 1].argmin())
-    agreeing = int(same[begin:end].sum())
-    if agreeing < min(LEAST_WORDS, len(item)) or agreeing < LEAST_IDENTITY * (end - begin):
+    at = np.flatnonzero(item[lo:hi] == doc[lo + shift : hi + shift])
+    if len(at) < min(LEAST_WORDS, len(item)):
         return None
-    return lo + begin, end - begin, agreeing
+    # Runs begin and end with agreeing words: from the i-th to the j-th of them, agreeing words
+    # less four times the others are score[j] + 1 - score[i]; for each j the least i with 0 or more.
+    score = 5 * np.arange(len(at)) - 4 * at
+    begin = np.searchsorted(-np.minimum.accumulate(score), -(score + 1), "left")
+    agreeing = np.arange(len(at)) - begin + 1
+    most = int(agreeing.max())
+    if most < min(LEAST_WORDS, len(item)):
+        return None
+    size = np.where(agreeing == most, at - at[begin] + 1, len(item) + 1)
+    end = int(size.argmin())
+    return lo + int(at[begin[end]]), int(size[end]), most
 
 
 class Items(NamedTuple):

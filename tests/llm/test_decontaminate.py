@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from lexmill.llm import decontaminate
@@ -101,3 +102,23 @@ def test_clashing_columns(spark):
     df = docs(spark, [(1, prose(random.Random(1), vocabulary(99), 20))]).selectExpr("*", "1 as id", "2 as k", "3 as item_id", "4 as h")
     bench = df.selectExpr("doc_id as item_id", "text", "9 as doc_id", "1 as id")
     assert rows(decontaminate.overlaps(df.drop("item_id"), bench), "doc_id", "item_id") == [(1, 1)]
+
+
+def test_longest_run_of_a_shift_counts():
+    """Not only the run of the best score: every run of one shift, compared with all pairs of ends."""
+    r = random.Random(12)
+    texts = [(23, range(10, 13)), (40, range(2, 40, 5)), (16, (5, 10)), (20, (4, 9, 14))]
+    texts += [(n, r.sample(range(n), r.randint(0, n // 3))) for n in (r.randint(5, 40) for _ in range(300))]
+    some = 0
+    for n, replaced in texts:
+        item, doc = np.arange(n), np.concatenate([[900, 901], np.arange(n), [902]])
+        doc[2 + np.array(list(replaced), dtype=int)] = 999
+        same, best = item == doc[2 : n + 2], None
+        for a in range(n):
+            for b in range(a + 1, n + 1):
+                agreeing = int(same[a:b].sum())
+                if agreeing >= min(decontaminate.LEAST_WORDS, n) and 5 * agreeing >= 4 * (b - a):
+                    best = max(best or (0, 0, 0), (agreeing, a - b, -a))
+        assert decontaminate.overlap(item, doc, 2) == (best and (-best[2], -best[1], best[0]))
+        some += best is not None
+    assert some > 100 and decontaminate.overlap(np.arange(23), np.where(np.arange(23) // 3 == 4, 99, np.arange(23)), 0) is not None
