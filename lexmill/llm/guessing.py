@@ -15,7 +15,7 @@ from .shared import id_text
 
 KEYS = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential"
 #: A key word, what may follow it in a name, an assignment, and a value in quotes or up to a blank.
-CONTEXT = re.compile(rf"""({KEYS})[a-z0-9_-]{{0,32}}["']?[ \t]{{0,4}}(?:=>|:=|=|:)[ \t]{{0,4}}(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"',;<>]{{4,}}))""", re.IGNORECASE)
+CONTEXT = re.compile(rf"""({KEYS})[a-z0-9_-]{{0,32}}["']?[ \t]*+(?:=>|:=|=|:)[ \t]*+(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"',;<>]{{4,}}))""", re.IGNORECASE)
 #: log10 of the guesses from which on a value counts as a secret.
 SECRET = 10.0
 #: Cost of joining one more segment.

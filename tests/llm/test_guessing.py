@@ -69,3 +69,15 @@ def test_scan(spark):
 def test_clashing_columns(spark):
     df = docs(spark, [(1, "pwd=abcd1234")]).selectExpr("*", "1 as id", "2 as key", "3 as at", "4 as kinds")
     assert rows(guessing.secrets(df), "doc_id", "key", "length") == [(1, "pwd", 8)]
+
+
+@pytest.mark.parametrize("blanks", ["", " ", " " * 5, "\t" * 9, " \t" * 300])
+def test_aligned_assignments(blanks):
+    for before, after in ((blanks, " "), ("", blanks), (blanks, blanks)):
+        m = guessing.CONTEXT.search(f"user = me\ndb_password{before}={after}x9Kq!7zLm2\n")
+        assert m and m.group(4) == "x9Kq!7zLm2"
+        assert guessing.CONTEXT.search(f'"token"{before}:{after}"24be 77"').group(2) == "24be 77"
+
+
+def test_blanks_without_an_assignment_are_passed_once():
+    assert guessing.CONTEXT.search(("token" * 6 + " " * 20_000) * 20) is None
