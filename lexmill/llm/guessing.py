@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from math import log10
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -20,9 +21,6 @@ CONTEXT = re.compile(rf"""({KEYS})[a-z0-9_-]{{0,32}}["']?[ \t]*+(?:=>|:=|=|:)[ \
 SECRET = 10.0
 #: Cost of joining one more segment.
 JOIN = log10(2)
-#: Characters in a segment; longer spans are several segments.
-LONGEST = 64
-
 #: Words by rank, most frequent first: common passwords, words of placeholders, and short words of English.
 WORDS = """password 123456 qwerty admin secret test user root letmein welcome login token key pass changeme example default
 guest abc the and for you this that with your from have not are was all new one our out can will more about when time
@@ -36,6 +34,8 @@ hidden redacted removed xxxx api auth code data file name number open close star
 letter magic cookie coffee pepper ginger tiger lion eagle horse tree water fire earth wind river mountain ocean moon
 """.split()
 RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))}
+#: Characters in the longest word or date.
+LONGEST = max(10, *map(len, RANK))
 LEET = str.maketrans("013457@$!", "oieastasi")
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 SHIFTED = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./")
@@ -78,11 +78,26 @@ def walk_cost(s: str) -> float | None:
     return log10(len(_PLACE) * (len(s) - 1)) + turns * log10(6) + (0 if s in (low, s.lower()) else log10(2))
 
 
+#: Characters of each kind.
+KINDS = (10, 26, 26, 33, 100)
+
+
+def char_kinds(c: str) -> int:
+    """The kinds of a character, a bit each."""
+    digit, low, up = c.isdigit(), c.islower(), c.isupper()
+    return digit | low << 1 | up << 2 | (not c.isalnum() and ord(c) < 128) << 3 | (ord(c) > 127 and not (digit or low or up)) << 4
+
+
+def alphabet(kinds: int) -> int:
+    return sum(n for k, n in enumerate(KINDS) if kinds >> k & 1)
+
+
 def brute_cost(s: str) -> float:
     """All strings of the same length over the kinds of characters in it."""
-    kinds = 10 * any(c.isdigit() for c in s) + 26 * any(c.islower() for c in s) + 26 * any(c.isupper() for c in s)
-    kinds += 33 * any(not c.isalnum() and ord(c) < 128 for c in s) + 100 * any(ord(c) > 127 and not c.isdigit() and not c.islower() and not c.isupper() for c in s)
-    return len(s) * log10(kinds)
+    kinds = 0
+    for c in set(s):
+        kinds |= char_kinds(c)
+    return len(s) * log10(alphabet(kinds))
 
 
 def repeat_unit(s: str) -> str | None:
@@ -104,22 +119,103 @@ def segment_cost(s: str) -> tuple[float, str]:
     return best
 
 
-def guess_cost(value: str) -> tuple[float, str]:
+def repeats(value: str) -> list[tuple[int, int, int]]:
+    """(begin, end, p) of the longest spans that repeat a unit of p characters twice or more, the unit no repeat itself."""
+    x, out = np.fromiter(map(ord, value), dtype=np.uint32, count=len(value)), []
+    for p in range(1, len(x) // 2 + 1):
+        # p equal places in a row hold one that is a multiple of p.
+        if not (x[:-p:p] == x[p::p]).any():
+            continue
+        edge = np.concatenate([[-1], np.flatnonzero(x[:-p] != x[p:]), [len(x) - p]])
+        for k in np.flatnonzero(np.diff(edge) > p).tolist():
+            begin, end = int(edge[k]) + 1, int(edge[k + 1]) + p
+            unit = value[begin : begin + p]
+            if (unit + unit).find(unit, 1) == p:
+                out.append((begin, end, p))
+    return out
+
+
+def _least(totals: np.ndarray) -> tuple[float, int]:
+    """The least, and the place of the first that equals it."""
+    low = totals.min()
+    return float(low), int((totals <= low + 1e-12).argmax())
+
+
+def guess_cost(value: str, known: dict[str, float] | None = None) -> tuple[float, str]:
     """log10 of the guesses that the cheapest segmentation takes, and its kinds in order.
 
     The cost of a segmentation is the sum of its segments' costs and JOIN for each
-    after the first. Among equals the one whose last segment is longest.
+    after the first. Among equals the one whose last segment is longest. Segments
+    are of any length. known: costs of the units of repeats, filled on the way.
     """
-    best: list[tuple[float, str]] = [(0.0, "")]
-    for j in range(1, len(value) + 1):
-        least = None
+    known = {} if known is None else known
+    n = len(value)
+    logs = np.log10(np.arange(1, n + 2))  # logs[k]: of k + 1
+    # start[i]: cost of what is before a segment that begins at i.
+    start, back = np.zeros(n + 1), [(0, "")] * (n + 1)
+    # Brute: for each set of kinds the begin that is cheapest up to here, all characters since being in the set.
+    sort = [char_kinds(c) for c in value]
+    sets = {0}
+    for k in set(sort):
+        sets |= {k | s for s in sets}
+    rate = {s: log10(alphabet(s)) for s in sets if s}
+    brute: dict[int, tuple[float, int] | None] = dict.fromkeys(rate)
+    # Walks: the direction of each step between neighbouring keys, turns and capitals up to each place.
+    low = [c.lower().translate(SHIFTED) for c in value]
+    step = [NEIGHBOURS.get(a, {}).get(b) for a, b in zip(low, low[1:])]
+    turns = np.cumsum([0] + [a != b for a, b in zip(step, step[1:])])
+    capitals = np.cumsum([0] + [c != c.lower() for c in value])
+    walk = 0
+    ends: dict[int, list[tuple[int, int]]] = {}
+    runs = repeats(value)
+    for begin, end, p in runs:
+        ends.setdefault(begin + 2 * p, []).append((begin, p))
+    last = {(begin, p): end for begin, end, p in runs}
+    going: list[tuple[int, int]] = []
+    for j in range(1, n + 1):
+        found: list[tuple[int, float, str]] = []
+        for s, r in rate.items():
+            if not sort[j - 1] & s:
+                brute[s] = None
+                continue
+            key = float(start[j - 1]) - (j - 1) * r
+            if brute[s] is None or key < brute[s][0] - 1e-12:
+                brute[s] = (key, j - 1)
+            i = brute[s][1]
+            found.append((i, float(start[i]) + (j - i) * r, "brute"))
         for i in range(max(0, j - LONGEST), j):
-            cost, kind = segment_cost(value[i:j])
-            total = best[i][0] + cost + (JOIN if i else 0.0)
-            if least is None or total < least[0] - 1e-12:
-                least = (total, (best[i][1] + " " if i else "") + kind)
-        best.append(least)
-    return best[-1]
+            part = value[i:j]
+            for kind, cost in (("word", word_cost(part)), ("date", date_cost(part))):
+                if cost is not None:
+                    found.append((i, float(start[i]) + cost, kind))
+        if j > 1 and step[j - 2] is None:
+            walk = j - 1
+        if j - walk >= 3:
+            i = np.arange(walk, j - 2)
+            total = start[i] + logs[j - 2 - i] + log10(len(_PLACE)) + (1 + turns[j - 2] - turns[i]) * log10(6) + (capitals[j] > capitals[i]) * log10(2)
+            cost, at = _least(total)
+            found.append((walk + at, cost, "walk"))
+        going = [x for x in going if last[x] >= j] + ends.get(j, [])
+        for begin, p in going:
+            unit = value[j - p : j]
+            if unit not in known:
+                known[unit] = guess_cost(unit, known)[0]
+            i = np.arange(j - 2 * p, begin - 1, -p)[::-1]
+            cost, at = _least(start[i] + known[unit] + logs[(j - i) // p - 1])
+            found.append((int(i[at]), cost, "repeat"))
+        # Stable: of kinds that cost the same for one span the first above stays.
+        found.sort(key=lambda x: x[0])
+        least = None
+        for i, cost, kind in found:
+            if least is None or cost < least[1] - 1e-12:
+                least = (i, cost, kind)
+        start[j] = least[1] + JOIN
+        back[j] = (least[0], least[2])
+    kinds, j = [], n
+    while j:
+        j, kind = back[j]
+        kinds.append(kind)
+    return float(start[n] - JOIN) if n else 0.0, " ".join(reversed(kinds))
 
 
 OUT = "doc_id long, key string, at int, length int, guesses_log10 double, kinds string, fingerprint string, is_secret boolean"

@@ -81,3 +81,21 @@ def test_aligned_assignments(blanks):
 
 def test_blanks_without_an_assignment_are_passed_once():
     assert guessing.CONTEXT.search(("token" * 6 + " " * 20_000) * 20) is None
+
+
+def all_spans(value):
+    """Every span as a segment, however long."""
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + guessing.segment_cost(value[i:j])[0] + (guessing.JOIN if i else 0.0) for i in range(j)))
+    return best[-1]
+
+
+def test_spans_of_any_length():
+    assert guessing.guess_cost("-" * 192) == (pytest.approx(log10(33) + log10(192)), "repeat")
+    assert guessing.guess_cost("x" * 256)[0] == pytest.approx(log10(26) + log10(256))
+    r = random.Random(5)
+    unit = "".join(r.choice("abXY01!-") for _ in range(80))
+    assert guessing.guess_cost(unit * 3)[0] == pytest.approx(guessing.guess_cost(unit)[0] + log10(3))
+    for value in ["*" * 70 + "x9Kq" + "*" * 70, "key=" + "ab1" * 30 + "zz", "qwertyuiop" * 8 + "Q!", "qwqwqWqw" * 10 + "7", "".join(r.choice("ab1") for _ in range(90)), "aXa" * 25 + "é" * 12, "xxxx" * 20, "A" + "b" * 75]:
+        assert guessing.guess_cost(value)[0] == pytest.approx(all_spans(value))
