@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +13,16 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import cut, id_text, written
-from .textkit import grams, mix, seeds, signed, span_hashes, words  # noqa: F401
+from .textkit import Words, grams, mix, seeds, signed, span_hashes, words  # noqa: F401
 
 #: Words in a k-mer, minima in a sketch, sketches a document.
-K, MINIMA, SKETCHES = 3, 3, 32
+K, MINIMA, SKETCHES = 1, 5, 36
+#: Words up to which a text also meets every text that is similar, by what is left when some words are left out.
+SHORT = 10
 #: Least 2 * common words in order / (words of both).
 SIMILARITY = 0.8
+#: Longs of a document's bit set, of its words by occurrence, that rules out most pairs before they are aligned.
+LONGS = 16
 #: Documents aligned to one document in one group of rows.
 SPREAD = 256
 
@@ -100,24 +106,77 @@ def row_hashes(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
 SKETCHED = "id long, n int, whole long, sketches array<long>"
 
 
-def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for w in words(batch.column(1)):
-            length = np.diff(w.ptr)
-            keep = np.flatnonzero(length)
-            s = sketch(w.hash, w.ptr)[keep]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * SKETCHES), pa.array(signed(s.ravel())))
-            ids = batch.column(0).slice(w.first, len(length)).take(pa.array(keep))
-            yield pa.record_batch([ids, pa.array(length[keep].astype(np.int32)), pa.array(signed(row_hashes(w.hash, w.ptr)[keep])), lists], names=["id", "n", "whole", "sketches"])
+def parts_of(h: np.ndarray, least: float) -> np.ndarray:
+    """Hashes of a row's text less some of its words, for rows of n words each: a column a choice.
+
+    Similar texts have a common part of least / (2 - least) or more of the words of either.
+    """
+    n, out = h.shape[1], []
+    for size in range(max(1, ceil(n * least / (2 - least) - 1e-9)), n + 1):
+        at = np.array(list(combinations(range(n), size)))
+        value = np.full((len(h), len(at)), size, dtype=np.uint64)
+        for k in range(size):
+            value = mix(value * np.uint64(3) + h[:, at[:, k]])
+        out.append(value)
+    return np.hstack(out)
+
+
+def _sketch_rows(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The sketches of each text and, from place SKETCHES on, the parts of a short one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in words(batch.column(1)):
+                length = np.diff(w.ptr)
+                keep = np.flatnonzero(length)
+                s = sketch(w.hash, w.ptr)[keep]
+                row, value = [np.repeat(np.arange(len(keep)), SKETCHES)], [s.ravel()]
+                for n in range(1, SHORT + 1):
+                    short = np.flatnonzero(length[keep] == n)
+                    if len(short):
+                        for r, x in zip(short.tolist(), parts_of(w.hash[w.ptr[keep[short]][:, None] + np.arange(n)], least)):
+                            x = np.unique(x)
+                            row.append(np.full(len(x), r))
+                            value.append(x)
+                at, values = np.concatenate(row), np.concatenate(value)
+                order = np.argsort(at, kind="stable")
+                edge = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(keep)))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(signed(values[order])))
+                ids = batch.column(0).slice(w.first, len(length)).take(pa.array(keep))
+                yield pa.record_batch([ids, pa.array(length[keep].astype(np.int32)), pa.array(signed(row_hashes(w.hash, w.ptr)[keep])), lists], names=["id", "n", "whole", "sketches"])
+
+    return run
+
+
+TOKENS = "id long, n int, bits array<long>, tokens binary"
+
+
+def bit_sets(w: Words) -> np.ndarray:
+    """A row of LONGS a text: the bits of its words, repeats being words of their own."""
+    x = mix(w.hash ^ mix(occurrences(w.hash, w.row).astype(np.uint64) * np.uint64(2) + np.uint64(1)))
+    out = np.zeros((len(w.ptr) - 1, 64 * LONGS), dtype=np.uint8)
+    out[w.row, (x % np.uint64(64 * LONGS)).astype(np.int64)] = 1
+    return np.packbits(out, axis=1).view(np.int64)
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """32 bits of each word's hash, as one binary value a document."""
+    """32 bits of each word's hash, as one binary value a document, and its bit set."""
     for batch in batches:
         for w in words(batch.column(1)):
+            n = len(w.ptr) - 1
             raw = (w.hash >> np.uint64(32)).astype(np.uint32).tobytes()
-            values = pa.Array.from_buffers(pa.binary(), len(w.ptr) - 1, [None, pa.py_buffer((w.ptr * 4).astype(np.int32).tobytes()), pa.py_buffer(raw)])
-            yield pa.record_batch([batch.column(0).slice(w.first, len(w.ptr) - 1), values], names=["id", "tokens"])
+            values = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((w.ptr * 4).astype(np.int32).tobytes()), pa.py_buffer(raw)])
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * LONGS), pa.array(bit_sets(w).ravel()))
+            yield pa.record_batch([batch.column(0).slice(w.first, n), pa.array(np.diff(w.ptr).astype(np.int32)), bits, values], names=["id", "n", "bits", "tokens"])
+
+
+def _possible(pairs: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
+    """The pairs (hub, id) without those that can't be similar: a bit that only one has is a word that isn't in common."""
+    a = tokens.select(F.col("id").alias("hub"), F.col("n").alias("hn"), F.col("bits").alias("hbits"))
+    apart = F.expr(" + ".join(f"bit_count(bits[{k}] ^ hbits[{k}])" for k in range(LONGS)))
+    both = F.col("n") + F.col("hn")
+    near = pairs.join(a, "hub").join(tokens.select("id", "n", "bits"), "id").filter(both - apart >= least * both)
+    return cut(near.select("hub", "id").distinct())
 
 
 def common_in_order(at: dict[int, int], n: int, other: list[int], band: int) -> int:
@@ -178,10 +237,11 @@ def _verify(least: float):
 
 def _aligned(pairs: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
     """Those of the pairs (hub, id) that are similar; each hub's partners are spread over parts of about SPREAD rows."""
+    pairs = _possible(pairs, tokens, least)
     size = pairs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(SPREAD)).alias("parts"))
     placed = pairs.join(size, "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id")
     hubs = size.select("hub", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"), F.col("hub").alias("id"))
-    rows = placed.unionByName(hubs).join(tokens, "id").select("hub", "part", "id", "tokens")
+    rows = placed.unionByName(hubs).join(tokens.select("id", "tokens"), "id").select("hub", "part", "id", "tokens")
     lined = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("id") != F.col("hub"))
     return lined.mapInArrow(_verify(least), "u long, v long")
 
@@ -190,7 +250,8 @@ def duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, kept_doc_id): each document to be dropped, and the one of its group that stays, the least id.
 
     Documents are compared as words in lower case, without punctuation. Two are
-    candidates if any of SKETCHES Order MinHash sketches agree, and similar if
+    candidates if any of SKETCHES Order MinHash sketches agree or, for two of up to
+    SHORT words, if they are similar at all; they are similar if
     2 * common words in order / words of both is at least similarity; groups are
     the connected components. All candidates of a bucket count: each is first
     aligned with the least id of the bucket, and then every pair that isn't in one
@@ -201,16 +262,16 @@ def duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     texts. Equal texts are a group however short. An empty table gives no rows.
     """
     base = id_text(docs, id_col, text_col).filter("text is not null")
-    seen = written(base.mapInArrow(_sketch_rows, SKETCHED), "sketches")
+    seen = written(base.mapInArrow(_sketch_rows(similarity), SKETCHED), "sketches")
     equal = cut(seen.select("id", F.min("id").over(Window.partitionBy("whole")).alias("first")).distinct())
     firsts = equal.groupBy("id").agg(F.min("first").alias("first")).filter("id = first").select("id")
-    # A bucket: one value of one sketch. Lone documents leave first.
-    spread = seen.select("id", "n", F.posexplode("sketches").alias("t", "h")).select("id", "n", F.xxhash64("t", "h").alias("h"))
+    # A bucket: one value of one sketch, or one part of short texts. Lone documents leave first.
+    spread = seen.select("id", "n", F.posexplode("sketches").alias("t", "h")).select("id", "n", F.xxhash64(F.least("t", F.lit(SKETCHES)), "h").alias("h"))
     hot = Window.partitionBy("h")
     bucket = spread.join(firsts, "id", "left_semi").withColumn("hub", F.min("id").over(hot)).withColumn("far", F.max("id").over(hot)).filter("hub <> far").select("h", "id", "n", "hub")
     bucket = written(bucket, "buckets")
     wanted = bucket.select("id").distinct()
-    tokens = written(base.join(wanted, "id", "left_semi").mapInArrow(_token_rows, "id long, tokens binary"), "tokens")
+    tokens = written(base.join(wanted, "id", "left_semi").mapInArrow(_token_rows, TOKENS), "tokens")
     tried = cut(bucket.filter("id <> hub").select("hub", "id").distinct())
     found = cut(_aligned(tried, tokens, similarity))
     part = components(found)
@@ -222,6 +283,6 @@ def duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     reach = (2 * F.least("hn", "n")) >= similarity * (F.col("hn") + F.col("n"))
     rest = a.join(named.select("h", "id", "n", "root"), "h").filter((F.col("hub") < F.col("id")) & (F.col("hroot") != F.col("root")) & reach)
     rest = rest.select("hub", "id").distinct().join(tried, ["hub", "id"], "left_anti")
-    more = _aligned(cut(rest), tokens, similarity)
+    more = _aligned(rest, tokens, similarity)
     links = found.unionByName(more).unionByName(equal.filter("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v")))
     return components(links).select(F.col("id").alias("doc_id"), F.col("root").alias("kept_doc_id"))

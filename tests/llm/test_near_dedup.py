@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from lexmill.llm import near_dedup
 from lexmill.llm.textkit import words
@@ -144,3 +145,59 @@ def test_sketch_does_not_depend_on_neighbours():
         v = next(words(pa.array([t])))
         assert (near_dedup.sketch(v.hash, v.ptr)[0] == together[i]).all() or not t
     assert SequenceMatcher and np.unique(together[[0, 2, 3], 0]).size == 3
+
+
+def candidates(texts):
+    """The sketches and parts of each text, as what two of them can agree in."""
+    got = next(near_dedup._sketch_rows(near_dedup.SIMILARITY)(iter([pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])])))
+    return [{(min(t, near_dedup.SKETCHES), h) for t, h in enumerate(x)} for x in got.column(3).to_pylist()]
+
+
+def changed(r, base, vocab, kind, changes):
+    """base with words at random places replaced, inserted or deleted."""
+    if kind == "insert":
+        at = set(r.sample(range(len(base) + changes), changes))
+        left = iter(base)
+        return [r.choice(vocab) if k in at else next(left) for k in range(len(base) + changes)]
+    at = set(r.sample(range(len(base)), changes))
+    return [r.choice(vocab) if k in at else w for k, w in enumerate(base) if k not in at or kind == "replace"]
+
+
+@pytest.mark.parametrize("kind", ["replace", "insert", "delete"])
+@pytest.mark.parametrize("n", [5, 7, 10, 11, 15, 30, 100, 200])
+def test_candidates_at_the_least_similarity(kind, n):
+    r, vocab = random.Random(n), vocabulary(3000, n)
+    most = {"replace": n // 5, "insert": n // 2, "delete": n // 3}[kind]
+    caught = 0
+    for _ in range(8):
+        texts = []
+        for _ in range(50):
+            base = prose(r, vocab, n).split()
+            texts += [" ".join(base), " ".join(changed(r, base, vocab, kind, most))]
+        some = candidates(texts)
+        caught += sum(not a.isdisjoint(b) for a, b in zip(some[::2], some[1::2]))
+    assert caught >= (400 if kind == "replace" and n <= near_dedup.SHORT else 0.9 * 400)
+
+
+def test_short_texts(spark):
+    """Every two similar texts of few words."""
+    r, vocab = random.Random(7), vocabulary(4000, 7)
+    table = []
+    for i in range(120):
+        base = prose(r, vocab, 2 + i % 9).split()
+        kind = r.choice(["replace", "insert", "delete"])
+        most = {"replace": len(base) // 5, "insert": len(base) // 2, "delete": len(base) // 3}[kind]
+        other = changed(r, base, vocab, kind, most)
+        if len(other) <= near_dedup.SHORT:
+            table += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    assert found(docs(spark, table)) == brute(table)[0]
+
+
+def test_bits_apart_are_words_apart():
+    r, vocab = random.Random(8), vocabulary(300, 8)
+    for n in (3, 40, 900):
+        a = prose(r, vocab, n)
+        b = edited(r, a, vocab, n // 3)
+        x, y = near_dedup.bit_sets(next(words(pa.array([a, b])))).view(np.uint64)
+        apart = sum((int(p) ^ int(q)).bit_count() for p, q in zip(x, y))
+        assert apart <= len(tokens(a)) + len(tokens(b)) - 2 * lcs(tokens(a), tokens(b))
