@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
@@ -17,8 +17,6 @@ from .textkit import buffers, lower, seeds, slices
 
 #: Labelled rows a language, at most, that the classifiers are fitted on.
 SAMPLE_ROWS = 600
-#: Bytes of each of those rows that are counted when fitting; classification counts whole texts.
-SAMPLE_BYTES = 4000
 FEATURES = 4096
 #: Codewords are this many times as long as log2 of the number of languages, beyond the exhaustive code.
 LENGTH = 15
@@ -88,13 +86,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: list[str]) -> Model:
-    """A binary classifier a bit, by full-batch logistic regression with momentum; deterministic."""
+    """A binary classifier a bit, of whole texts; deterministic."""
+    return fit_features(features(*buffers(lower(pa.array(texts, pa.string())))), labels)
+
+
+def fit_features(x: np.ndarray, labels: list[str]) -> Model:
+    """The same from the features of the texts, by full-batch logistic regression with momentum."""
     languages = sorted(set(labels))
     code = codewords(len(languages))
     if not languages:
         return Model([], np.ones((0, 1)), np.zeros((FEATURES + 1, 1), np.float32), np.ones(1))
-    column = lower(pa.array([t.encode()[:SAMPLE_BYTES].decode("utf-8", "ignore") for t in texts], pa.string()))
-    x = features(*buffers(column))
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     at = {lang: i for i, lang in enumerate(languages)}
     which = np.array([at[lang] for lang in labels])
@@ -120,25 +121,39 @@ def decode(model: Model, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return loss.argmin(axis=1), two[:, 1] - two[:, 0]
 
 
+def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Label, hash, and the features that aren't 0 of each text, as places and values in one binary each."""
+    for batch in batches:
+        data, offsets = buffers(lower(batch.column(2)))
+        for i, j in slices(offsets, 1 << 19):
+            x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            at = [np.flatnonzero(row) for row in x]
+            places = pa.array([a.astype(np.uint16).tobytes() for a in at], pa.binary())
+            values = pa.array([row[a].tobytes() for row, a in zip(x, at)], pa.binary())
+            yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), places, values], names=["lang", "h", "places", "vals"])
+
+
 def train(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
-    """Fitted on at most rows labelled rows a language: those whose hash is least among rows with a label and a text."""
-    labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """Fitted on at most rows labelled rows a language: those whose hash is least among rows with a label and a text.
+
+    The hash is of the id and the text. Whole texts are counted, in Spark; only
+    their features come to the driver.
+    """
+    lang, text = F.col(lang_col).cast("string"), F.col(text_col).cast("string")
+    labelled = small_batches(docs).select(lang.alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h")).filter("lang is not null and text is not null")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()
     near = F.lit(False)
-    for lang, n in counts.items():
+    for r in counts:
         # About 1.5 times the rows wanted, and a few; then exactly the least.
-        part = min(1.0, (1.5 * rows + 50) / n)
-        near = near | ((F.col("lang") == lang) & (F.col("h") <= F.lit(int(-(2**63) + part * (2**64 - 1)) if part < 1 else 2**63 - 1)))
-    cut = labelled.filter(near).select("lang", "h", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
-    got = sorted((r["lang"], r["h"], r["text"]) for r in cut.collect())
-    taken: dict[str, int] = {}
-    texts, labels = [], []
-    for lang, _, text in got:
-        if taken.get(lang, 0) < rows:
-            taken[lang] = taken.get(lang, 0) + 1
-            texts.append(text)
-            labels.append(lang)
-    return fit(texts, labels)
+        part = min(1.0, (1.5 * rows + 50) / r["n"])
+        near = near | ((F.col("lang") == r["lang"]) & (F.col("h") <= F.lit(max(r["least"], int(-(2**63) + part * (2**64 - 1))) if part < 1 else 2**63 - 1)))
+    first = Window.partitionBy("lang").orderBy("h", "text")
+    drawn = labelled.filter(near).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= rows).select("lang", "h", "text")
+    got = sorted(tuple(r) for r in drawn.mapInArrow(_feature_rows, "lang string, h long, places binary, vals binary").collect())
+    x = np.zeros((len(got), FEATURES), dtype=np.float32)
+    for row, (_, _, places, values) in zip(x, got):
+        row[np.frombuffer(places, np.uint16)] = np.frombuffer(values, np.float32)
+    return fit_features(x, [r[0] for r in got])
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", margin: float = MARGIN, names: tuple[str, str, str] = ("language", "lead", "accepted")) -> DataFrame:

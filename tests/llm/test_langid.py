@@ -109,3 +109,19 @@ def test_clashing_columns(spark):
     assert got.columns == [*docs(spark, []).columns, "c0", "tag", "more", "language", "lead", "accepted"]
     r = got.first()
     assert r["language"] == "aa" and r["c0"] == 2 and r["more"] == [1]
+
+
+def test_whole_texts_are_counted_when_fitting(spark):
+    """All texts begin with the same long head; what tells them apart comes later."""
+    r = random.Random(7)
+    head = sentence(r, "cc", 1500)
+    assert len(head) > 8000
+    table = [(i, head + " " + sentence(r, lang, 1500), lang, "src0", 1) for i, lang in enumerate(["aa", "bb"] * 20)]
+    got = langid.identify(docs(spark, [(i, sentence(r, "ab"[i % 2] * 2), "ab"[i % 2] * 2, "src0", 1) for i in range(20)]), langid.train(docs(spark, table))).collect()
+    assert all(x["language"] == x["lang"] and x["accepted"] for x in got)
+
+
+def test_rows_without_id_are_drawn(spark):
+    r = random.Random(8)
+    table = [(None, sentence(r, lang, 6), lang, "src0", 1) for lang in ("aa", "bb") for _ in range(400)] + [(None, "oui eau ment", "cc", "src0", 1)] * 400
+    assert langid.train(docs(spark, table), rows=10).languages == ["aa", "bb", "cc"]
