@@ -1,4 +1,4 @@
-"""Connected components by alternating stars, all in joins and windows over edges."""
+"""Connected components by alternating stars, all in joins and sums over edges, which combine a giant star before they shuffle it."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut
@@ -34,15 +34,16 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _large(e: DataFrame) -> DataFrame:
+    """Each neighbour that is greater than a vertex moves to the least of the vertex and its neighbours."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    m = F.least("u", F.min("v").over(Window.partitionBy("u")))
-    return both.select(F.col("v").alias("a"), "u", m.alias("m")).filter("a > u").select(F.col("a").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
-    m = F.min("v").over(Window.partitionBy("u"))
-    star = e.select("u", "v", m.alias("m"))
-    moved = star.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+    """Each vertex and its lesser neighbours, all that it has here, move to the least of these."""
+    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    moved = e.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
     return moved.select("x.*").filter("u <> v").distinct()
 
 

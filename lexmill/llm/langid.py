@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .shared import small_batches, without
+from .shared import pieces, without
 from .textkit import buffers, lower, seeds, slices
 
 #: Labelled rows a language, at most, that the classifiers are fitted on.
@@ -140,7 +140,7 @@ def train(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", id
     their features come to the driver.
     """
     lang, text = F.col(lang_col).cast("string"), F.col(text_col).cast("string")
-    labelled = small_batches(docs).select(lang.alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h")).filter("lang is not null and text is not null")
+    labelled = docs.select(lang.alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h")).filter("lang is not null and text is not null")
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()
     near = F.lit(False)
     for r in counts:
@@ -164,7 +164,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", margin: f
     the same names are replaced. With no language in the model nothing is accepted.
     """
     language, lead, accepted = names
-    kept = small_batches(docs).select(*without(docs, *names))
+    kept = docs.select(*without(docs, *names))
     last = kept.columns.index(next(c for c in kept.columns if c.lower() == text_col.lower()))
     named = [*kept.columns, language, lead, accepted]
     plain = kept.toDF(*(f"c{i}" for i in range(len(kept.columns))))
@@ -172,7 +172,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", margin: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tags = pa.array([*model.languages, None], pa.string())
-        for batch in batches:
+        for batch in pieces(batches):
             data, offsets = buffers(lower(batch.column(last).cast(pa.string())))
             which, far, known = [], [], []
             for i, j in slices(offsets, 1 << 19):

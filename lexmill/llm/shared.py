@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only in local mode with the setting absent."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(named)
-        return named.rstrip("/")
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return context._jsc.sc().getCheckpointDir().get().rstrip("/")
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+from ..workspace import kept, shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -31,12 +19,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: df written as Parquet to the shared folder and read again.
+written = kept
 
 
 def without(df: DataFrame, *names: str) -> list[Column]:
@@ -49,36 +33,87 @@ def without(df: DataFrame, *names: str) -> list[Column]:
 BATCH_ROWS = 1000
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df; its session sends Python no more than BATCH_ROWS rows at once from now on."""
-    name, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-    return df
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of no more than so many rows."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Whole groups of rows, equal in the first columns, as rows come sorted by these; several groups in a table."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = [batch.column(k)[-1] for k in range(keys)]
+        if held and all(held[-1].column(k)[-1] == batch.column(k)[0] == last[k] for k in range(keys)):
+            held.append(batch)
+            continue
+        # Rows are sorted: those that equal the last one are at the end.
+        lo, hi = 0, batch.num_rows - 1
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if all(batch.column(k)[mid] == last[k] for k in range(keys)):
+                hi = mid
+            else:
+                lo = mid + 1
+        if held or lo:
+            yield pa.Table.from_batches([*held, batch.slice(0, lo)])
+        held = [batch.slice(lo)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def edges_of(table: pa.Table, keys: int) -> np.ndarray:
+    """Places where groups of the first columns begin, and the number of rows last."""
+    cols = [table.column(k).to_numpy() for k in range(keys)]
+    new = np.zeros(table.num_rows, dtype=bool)
+    new[:1] = True
+    for c in cols:
+        new[1:] |= c[1:] != c[:-1]
+    return np.append(np.flatnonzero(new), table.num_rows)
+
+
+def id_of(df: DataFrame, id_col: str) -> Column:
+    """The id as a long; ValueError if its type isn't that of an integer."""
+    kind = df.select(F.col(id_col)).schema[0].dataType
+    if not isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
+        raise ValueError(f"{id_col} is {kind.simpleString()}: ids are integers, number others first")
+    return F.col(id_col).cast("long")
 
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the key, as a long named id, and the text; rows without a key are dropped."""
-    return small_batches(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
+    return df.select(id_of(df, id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
 
 
-#: Ids up to which a set of rows to be dropped is sent to all executors.
+#: Ids up to which a set of rows to be kept or dropped is sent to all executors: 16 MB of longs.
 BROADCAST_IDS = 2_000_000
 
 
+def _joined(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
+    some = cut(ids.toDF("__some").distinct())
+    if some.count() <= BROADCAST_IDS:
+        some = F.broadcast(some)
+    return docs.join(some, id_of(docs, id_col) == F.col("__some"), how)
+
+
 def minus(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """docs without the rows whose id_col is among ids (one column); rows without an id stay."""
-    gone = cut(ids.toDF("__gone").distinct())
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs[f"`{id_col}`"].cast("long") == F.col("__gone"), "left_anti")
+    return _joined(docs, ids, id_col, "left_anti")
+
+
+def only(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id_col is among ids (one column)."""
+    return _joined(docs, ids, id_col, "left_semi")
 
 
 def once(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with one row an id, that of the least text; rows without an id stay."""
-    many = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("__n")).filter("__n > 1").select(F.col(id_col).cast("long").alias("id"))
-    many = cut(many)
+    """docs with one row an id, that of the least text, null after all others; rows without an id stay."""
+    many = cut(docs.filter(F.col(id_col).isNotNull()).groupBy(id_of(docs, id_col).alias("id")).agg(F.count("*").alias("__n")).filter("__n > 1").select("id"))
     if many.isEmpty():
         return docs
-    one = docs.join(many, docs[f"`{id_col}`"].cast("long") == F.col("id"), "left_semi").withColumn("__k", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).filter("__k = 1").drop("__k")
+    order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
+    one = docs.join(many, id_of(docs, id_col) == F.col("id"), "left_semi").withColumn("__k", F.row_number().over(order)).filter("__k = 1").drop("__k")
     return minus(docs, many, id_col).unionByName(one)
