@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
     return java.getCheckpointDir().get().rstrip("/")
 
 
+#: Tables that kept() wrote and that are still there.
+_kept: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -32,4 +38,23 @@ def kept(df: DataFrame, name: str = "table") -> DataFrame:
     """df written as Parquet to the shared folder and read again, without its lineage."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    _kept.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, all that kept() writes within."""
+    mark = len(_kept)
+    try:
+        yield
+    finally:
+        while len(_kept) > mark:
+            removed(spark, _kept.pop())
