@@ -6,15 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_text, without
+from .shared import id_of, id_text, pieces, without, written
 from .textkit import buffers, signed, slices, span_hashes, seeds
 from .winnowing import anchors
 
 #: Line hashes in a window of which the least is the fingerprint, and so lines in the shortest run that is deleted.
-W = 2
+#: 1: every line is a fingerprint, so that a single repeated line is found too; runs are the lines next to one another.
+W = 1
+#: Lines to be deleted up to which the list of them is sent to all executors, instead of every text through a shuffle.
+BROADCAST_LINES = 1_000_000
 _LINE = np.where(np.arange(256) == 10, np.uint64(0), seeds(256, 23) | np.uint64(1))
 
 
@@ -48,7 +51,7 @@ def _rows(w: int):
 
 def _clean(w: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             n = batch.num_columns
             text, gone = batch.column(n - 2), batch.column(n - 1)
             hit = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
@@ -78,16 +81,25 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     byte by byte; empty lines are neither compared nor deleted. A text may become
     empty; its row stays. Rows with a null id or text stay as they are and count
     for nothing. Rows of one id are ordered by a hash of the text; rows of one id
-    and text are one document. A column named removed_col is replaced.
+    and text are one document. Texts of any length are compared to the end. A
+    column named removed_col is replaced. No rows give no rows.
+
+    A fingerprint carries the hashes of all windows of which it is the least line;
+    equal windows have equal fingerprints at equal places, so the windows to both
+    sides of a fingerprint tell how far a match extends. The first occurrence of a
+    window is a minimum, combined before its shuffle, however frequent the line.
     """
     kept = docs.select(*without(docs, text_col, removed_col), F.col(text_col).cast("string").alias(text_col))
     base = id_text(docs, id_col, text_col).filter("text is not null").select("id", F.xxhash64("text").alias("v"), "text")
     rows = base.mapInArrow(_rows(window), "h long, id long, v long, start int, windows array<long>")
-    each = rows.repartition("h").select("h", "id", "v", "start", F.posexplode("windows").alias("o", "window"))
-    each = each.select("h", "window", F.struct("id", "v", (F.col("start") + F.col("o")).alias("line")).alias("at"))
-    later = each.withColumn("first", F.min("at").over(Window.partitionBy("h", "window"))).filter("at > first")
-    gone = later.groupBy(F.col("at.id").alias("__id"), F.col("at.v").alias("__v")).agg(F.collect_set("at.line").alias("__gone"))
-    joined = kept.join(gone, (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__v")), "left")
+    each = rows.select("id", "v", "start", F.posexplode("windows").alias("o", "window")).select("window", F.struct("id", "v", (F.col("start") + F.col("o")).alias("line")).alias("at"))
+    each = written(each, "lines")
+    first = each.groupBy("window").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("window", "first")
+    later = each.join(first, "window").filter("at > first")
+    gone = written(later.groupBy(F.col("at.id").alias("__id"), F.col("at.v").alias("__v")).agg(F.collect_set("at.line").alias("__gone")), "gone")
+    if (gone.agg(F.sum(F.size("__gone"))).first()[0] or 0) <= BROADCAST_LINES:
+        gone = F.broadcast(gone)
+    joined = kept.join(gone, (id_of(kept, id_col) == F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__v")), "left")
     names = kept.columns
     plain = joined.select(*(F.col(f"`{c}`") for c in names), "__gone").toDF(*(f"c{i}" for i in range(len(names) + 1)))
     fields = ", ".join(f"c{i} {plain.schema[i].dataType.simpleString()}" for i in range(len(names))) + f", c{len(names)} int"

@@ -14,8 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "text")
-    return sharding.shards(docs).drop("text")
+    return sharding.shards(table(spark, sf_dir, "documents"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,13 +75,8 @@ ORACLE: dict[str, str] = {
     "op7_line_dedup": f"""
 WITH l AS (
   SELECT doc_id, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS i FROM documents
-), s AS (
-  SELECT doc_id, i, line, lead(line) OVER o AS next_line, lead(i) OVER o AS next_i
-  FROM l WHERE line <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY i)
-), w AS (
-  SELECT *, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, i) AS k FROM s WHERE next_line IS NOT NULL
 ), gone AS (
-  SELECT doc_id, i FROM w WHERE k > 1 UNION SELECT doc_id, next_i FROM w WHERE k > 1
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS k FROM l WHERE line <> '') WHERE k > 1
 )
 SELECT l.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL), '') AS text, count(gone.i)::INTEGER AS lines_removed
 FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id

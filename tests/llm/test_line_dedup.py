@@ -39,7 +39,7 @@ def test_odd_rows(spark):
     table = [(1, "a\nb\nc"), (2, "x\n\na\n\nb\ny"), (3, None), (None, "a\nb"), (4, ""), (5, long), (6, long), (7, "a\nb"), (7, "a\nb"), (8, "b\na"), (9, "\n\n")]
     got = {(r["doc_id"], r["text"]): r["lines_removed"] for r in line_dedup.dedup(docs(spark, table)).collect()}
     assert got[1, "a\nb\nc"] == 0 and got[2, "x\n\n\ny"] == 2 and got[3, None] == 0 and got[None, "a\nb"] == 0 and got[4, ""] == 0
-    assert got[5, long] == 0 and got[6, ""] == 30_000 and got[7, ""] == 2 and got[8, "b\na"] == 0 and got[9, "\n\n"] == 0
+    assert got[5, long] == 0 and got[6, ""] == 30_000 and got[7, ""] == 2 and got[8, ""] == 2 and got[9, "\n\n"] == 0
     assert line_dedup.dedup(docs(spark, table)).count() == len(table) and line_dedup.dedup(docs(spark, [])).count() == 0
 
 
@@ -52,3 +52,13 @@ def test_clashing_columns(spark):
     got = line_dedup.dedup(df)
     assert got.columns == [c for c in df.columns if c != "LINES_REMOVED"] + ["lines_removed"]
     assert rows(got, "doc_id", "text", "lines_removed") == [(1, "a\nb", 0), (2, "", 2)]
+
+
+def test_hot_line_either_way_of_joining(spark, monkeypatch):
+    """A third of all lines are one line; the list of deletions goes to the texts, or both meet."""
+    table = [(i, f"only {i}\nthe same\nalso {i}") for i in range(200)]
+    want = sorted(brute(table), key=repr)
+    assert rows(line_dedup.dedup(docs(spark, table)).select("doc_id", "text", "lines_removed")) == want
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
+    assert rows(line_dedup.dedup(docs(spark, table)).select("doc_id", "text", "lines_removed")) == want
+    assert sorted(n for *_, n in want) == [0] + [1] * 199
