@@ -60,6 +60,19 @@ def test_ties_have_one_order(spark):
     assert a == b and max(s for _, s in a) == 13
 
 
+def test_frequent_size_is_ranked_in_parts(spark):
+    """As many bins, as full, as without parts; every group in one of them, and the same in every run."""
+    r = random.Random(3)
+    sizes = [(7, k) for k in range(300)] + [(r.randint(0, 40), k) for k in range(300, 360)]
+    groups = spark.createDataFrame([(f"{k:04}", n) for n, k in sizes], "key string, size long")
+    want = brute([(n, f"{k:04}") for n, k in sizes], 100)
+    once, again = ({x["key"]: x["shard"] for x in sharding.assign(g, 100, ranked=20).collect()} for g in (groups, groups.repartition(5)))
+    assert once == again and set(once) == set(want)
+    size = {f"{k:04}": n for n, k in sizes}
+    fill = lambda at: sorted((s, sorted(size[k] for k in at if at[k] == s)) for s in set(at.values()))
+    assert fill(once) == fill(want)
+
+
 def test_empty_and_clashing_columns(spark):
     assert sharding.shards(docs(spark, [])).count() == 0
     df = docs(spark, [(1, "a"), (2, "b")]).selectExpr("*", "1 as key", "2 as size", "3 as SHARD", "4 as rank")
