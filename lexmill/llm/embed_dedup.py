@@ -6,15 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import small_batches, written
+from .shared import cut, edges_of, groups, id_of, pieces, written
 from .textkit import mix, seeds, signed
 
-#: Least cosine of near copies; tables, and hyperplanes in each. At the least cosine a pair shares a table with probability 0.98.
-COSINE, TABLES, BITS = 0.95, 16, 14
+#: Least cosine of near copies, and probability with which a pair of that cosine shares a bucket.
+COSINE, CHANCE = 0.95, 0.98
+#: Hyperplanes in a table at least and at most: one for each doubling of the number of vectors, so that a bucket of
+#: vectors that aren't near each other stays as small as it is, whatever their number.
+BITS = (8, 40)
 #: Vectors of a bucket that are compared in one go; larger buckets go block against block.
 BLOCK = 2048
 
@@ -28,16 +31,23 @@ def planes(dim: int, n: int) -> np.ndarray:
     return (np.sqrt(-2 * np.log1p(-a)) * np.cos(2 * np.pi * b)).reshape(dim, n).astype(np.float32)
 
 
-def signatures(unit: np.ndarray) -> np.ndarray:
+def layout(n: int, cosine: float = COSINE) -> tuple[int, int]:
+    """(hyperplanes in a table, tables) for n vectors."""
+    bits = min(max(BITS[0], int(n - 1).bit_length() if n > 1 else 0), BITS[1])
+    alike = (1 - np.arccos(min(max(cosine, -1.0), 1.0)) / np.pi) ** bits
+    return bits, 1 if alike >= 1 else max(1, int(np.ceil(np.log(1 - CHANCE) / np.log1p(-alike))))
+
+
+def signatures(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """A 64-bit bucket number a table, different for each table and number of dimensions."""
     dim = unit.shape[1]
-    on = unit @ planes(dim, TABLES * BITS) >= 0
-    code = (on.reshape(len(unit), TABLES, BITS) * (np.uint64(1) << np.arange(BITS, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
-    return mix(code + seeds(TABLES, dim + 1000)[None, :])
+    on = unit @ planes(dim, tables * bits) >= 0
+    code = (on.reshape(len(unit), tables, bits) * (np.uint64(1) << np.arange(bits, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
+    return mix(code + seeds(tables, dim + 1000)[None, :])
 
 
-def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _hashed(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches):
         ids, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
         size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
@@ -55,7 +65,7 @@ def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = np.ascontiguousarray(unit).view(np.uint32).astype(np.uint64)
             whole = mix((raw * (seeds(dim, 77) | np.uint64(1))).sum(axis=1, dtype=np.uint64) + np.uint64(dim))
             units = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * dim * 4).astype(np.int32).tobytes()), pa.py_buffer(unit.tobytes())])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * TABLES), pa.array(signed(signatures(unit).ravel())))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * tables), pa.array(signed(signatures(unit, bits, tables).ravel())))
             yield pa.record_batch([pa.array(ids[rows]), pa.array(signed(whole)), units, lists], names=["id", "whole", "unit", "hashes"])
 
 
@@ -75,44 +85,18 @@ def stars(ids: np.ndarray, unit: np.ndarray, least: float) -> tuple[np.ndarray,
 
 def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-
-        def solve(table: pa.Table) -> tuple[list, list]:
-            keys = np.stack([table.column(k).to_numpy() for k in ("h", "i", "j")], axis=1)
-            ids = table.column("id").to_numpy()
-            unit = table.column("unit").combine_chunks()
-            unit = unit.chunk(0) if isinstance(unit, pa.ChunkedArray) else unit
-            cut_at = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            us, vs = [], []
-            for a, b in zip(np.append(0, cut_at), np.append(cut_at, len(ids))):
+        for table in groups(batches, 3):
+            edge, ids = edges_of(table, 3), table.column("id").to_numpy()
+            raw = table.column("unit").to_pylist()
+            begin = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])])
+            unit, us, vs = np.frombuffer(b"".join(raw), dtype=np.float32), [], []
+            for a, b in zip(edge, edge[1:]):
                 if b - a > 1:
-                    x = np.stack([np.frombuffer(unit[int(i)].as_buffer(), dtype=np.float32) for i in range(a, b)])
-                    u, v = stars(ids[a:b], x, least)
+                    u, v = stars(ids[a:b], unit[begin[a] : begin[b]].reshape(b - a, -1), least)
                     us.append(u)
                     vs.append(v)
-            return us, vs
-
-        def result(us: list, vs: list) -> pa.RecordBatch:
-            u = np.concatenate(us) if us else np.zeros(0, np.int64)
-            v = np.concatenate(vs) if vs else np.zeros(0, np.int64)
-            return pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # The last group may go on in the next batch.
-            key = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            same = (key[0] == key[0][-1]) & (key[1] == key[1][-1]) & (key[2] == key[2][-1])
-            tail = batch.num_rows - int(np.argmax(~same[::-1])) if not same.all() else 0
-            if tail == 0 and kept and all(kept[-1].column(k)[-1].as_py() == key[k][0] for k in range(3)):
-                kept.append(batch)
-                continue
-            table = pa.Table.from_batches([*kept, batch.slice(0, tail)]) if kept or tail else None
-            kept = [batch.slice(tail)]
-            if table is not None:
-                yield result(*solve(table))
-        if kept:
-            yield result(*solve(pa.Table.from_batches(kept)))
+            if us:
+                yield pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
     return run
 
@@ -121,23 +105,26 @@ def duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     """(vec_id, kept_vec_id): each vector to be dropped and the one of its group that stays, the least id.
 
     Vectors that share a bucket of any table are compared exactly; groups are the
-    connected components of pairs with cosine of at least cosine. Vectors of
-    different lengths are never compared. Rows with a null id, a null or empty
+    connected components of pairs with cosine of at least cosine. The number of
+    hyperplanes in a table follows that of the vectors, and the number of tables
+    keeps the chance of a pair at the least cosine at CHANCE. Vectors of different
+    lengths, any of them, are never compared. Rows with a null id, a null or empty
     vector, one with nulls or without a direction (zero, infinite, NaN) are in no
-    group. Rows with the same id are one vector of several values. No rows give none.
+    group. Rows with the same id are one vector of several values; repeated rows
+    count once. Other columns are ignored. No rows give none. Ids that aren't
+    integers raise ValueError.
     """
-    base = small_batches(vectors).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
-    seen = written(base.mapInArrow(_hash_rows, VECTORS), "vectors")
-    equal = seen.select("id", "whole", F.min("id").over(Window.partitionBy("whole")).alias("first"))
-    # One row for each id and value that no smaller id has.
-    firsts = equal.filter("id = first").select("id", "whole").distinct()
-    hot = Window.partitionBy("h")
-    bucket = seen.select("id", "whole", F.explode("hashes").alias("h")).join(firsts, ["id", "whole"], "left_semi").distinct()
-    bucket = bucket.withColumn("n", F.count("*").over(hot)).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
-    block = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    spread = bucket.withColumn("b", block).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.select("h", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "id", "whole")
-    rows = spread.join(seen.select("id", "whole", "unit").dropDuplicates(["id", "whole"]), ["id", "whole"]).select("h", "i", "j", "id", "unit")
+    base = vectors.select(id_of(vectors, id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    bits, tables = layout(base.count(), cosine)
+    seen = written(base.mapInArrow(lambda batches: _hashed(batches, bits, tables), VECTORS), "vectors")
+    # Of equal vectors that of the least id goes on; groups are combined before the shuffle, however large.
+    copies = cut(seen.groupBy("whole").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("whole", "first"))
+    equal = cut(seen.select("id", "whole").join(copies, "whole").filter("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct())
+    firsts = seen.join(copies, "whole", "left").filter("first is null or first = id").dropDuplicates(["id", "whole"]).select("id", "whole", "unit", "hashes")
+    spread = firsts.select("id", "whole", F.explode("hashes").alias("h"))
+    shared = spread.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts"))
+    bucket = spread.join(shared, "h").select("h", "id", "whole", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("x"))
+    blocks = bucket.select("h", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "id", "whole")
+    rows = blocks.join(firsts.select("id", "whole", "unit"), ["id", "whole"]).select("h", "i", "j", "id", "unit")
     found = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "id").mapInArrow(_verify(cosine), "u long, v long")
-    links = found.unionByName(equal.filter("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v")))
-    return components(links).select(F.col("id").alias("vec_id"), F.col("root").alias("kept_vec_id"))
+    return components(found.unionByName(equal)).select(F.col("id").alias("vec_id"), F.col("root").alias("kept_vec_id"))
