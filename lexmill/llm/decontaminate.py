@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import id_text
+from .shared import id_text, pieces
 from .textkit import Words, mix, seeds, signed, words
 
 #: Fixed masks over consecutive words: 1 is compared, 0 ignored. Each has 6 of 10 or 11 positions.
@@ -20,10 +20,10 @@ SPAN = max(map(len, MASKS))
 LEAST_WORDS = 12
 #: Least share of agreeing words in an overlap.
 LEAST_IDENTITY = 0.8
-#: Items of fewer words than this are never matched.
+#: Items of fewer words than this match documents of the same words only, and nothing within a longer text.
 SHORTEST = 5
-#: Words of all items together up to which they are sent to all executors; beyond, hashes meet in a shuffle.
-BROADCAST_WORDS = 5_000_000
+#: Words of all items together up to which they are sent to all executors, 130 MB of keys; beyond, hashes meet in a shuffle.
+BROADCAST_WORDS = 500_000
 
 
 def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
@@ -84,6 +84,17 @@ class Items(NamedTuple):
     words: list[np.ndarray]
 
 
+def short_keys(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of 1 to SHORTEST - 1 words, and a hash of all their words."""
+    length = np.diff(w.ptr)
+    rows = np.flatnonzero((length > 0) & (length < SHORTEST))
+    key = mix(length[rows].astype(np.uint64))
+    for k in range(SHORTEST - 1):
+        has = length[rows] > k
+        key[has] = mix(key[has] * np.uint64(3) + w.hash[w.ptr[rows[has]] + k])
+    return rows, key
+
+
 def _tokens(text: pa.Array) -> list[np.ndarray]:
     return [w.hash[a:b] for w in words(text) for a, b in zip(w.ptr, w.ptr[1:])]
 
@@ -104,30 +115,38 @@ def _scan_small(docs: DataFrame, items: Items) -> DataFrame:
     masks = masks_for({len(t) for t in items.words})
     keys, item, place = [], [], []
     for i, t in enumerate(items.words):
-        for m in masks if len(t) >= SPAN else ["1" * len(t)] if len(t) >= SHORTEST else []:
+        for m in MASKS if len(t) >= SPAN else ["1" * len(t)] if len(t) >= SHORTEST else []:
             s = seed_hashes(t, m)
             keys.append(s)
             item.append(np.full(len(s), i))
             place.append(np.arange(len(s)))
-    if not keys:
+    if not items.words:
         return docs.sparkSession.createDataFrame([], OUT)
-    key, item_no, at = np.concatenate(keys), np.concatenate(item), np.concatenate(place)
+    none = np.zeros(0, dtype=np.int64)
+    key, item_no, at = np.concatenate([none.view(np.uint64), *keys]), np.concatenate([none, *item]), np.concatenate([none, *place])
     order = np.argsort(key, kind="stable")
     key, item_no, at = key[order], item_no[order], at[order]
     bits = max(16, int(np.ceil(np.log2(len(key) + 1))) + 5)
     shift = np.uint64(64 - bits)
     table = np.zeros(1 << bits, dtype=bool)
     table[key >> shift] = True
-    known = docs.sparkSession.sparkContext.broadcast((items, masks, key, item_no, at, table))
+    alone: dict[int, list[int]] = {}
+    for i, t in enumerate(items.words):
+        for k in short_keys(Words(0, np.array([0, len(t)]), t, t, t))[1].tolist():
+            alone.setdefault(k, []).append(i)
+    known = docs.sparkSession.sparkContext.broadcast((items, masks, key, item_no, at, table, alone))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, masks, key, item_no, at, table = known.value
+        items, masks, key, item_no, at, table, alone = known.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             found: list[tuple] = []
             for w in words(batch.column(1)):
                 tried: set[tuple[int, int, int]] = set()
                 row = None
+                for r, k in zip(*(x.tolist() for x in short_keys(w))) if alone else ():
+                    n = int(w.ptr[r + 1] - w.ptr[r])
+                    found.extend((int(ids[w.first + r]), int(items.ids[i]), 0, 0, n, n) for i in alone.get(k, ()))
                 for m in masks:
                     s = seed_hashes(w.hash, m)
                     maybe = np.flatnonzero(table[s >> shift])
@@ -169,24 +188,38 @@ def _seed_table(side: DataFrame, masks: list[str], solid: bool) -> DataFrame:
     return side.mapInArrow(run, "h long, id long, at long")
 
 
+def _short_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column(0)
+        for w in words(batch.column(1)):
+            rows, key = short_keys(w)
+            yield pa.record_batch([ids.take(pa.array(w.first + rows)), pa.array(np.diff(w.ptr)[rows].astype(np.int32)), pa.array(signed(key))], names=["id", "n", "h"])
+
+
 def _scan_large(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Items of any number: hashes of both sides meet in a shuffle; texts join the hits to be verified."""
     masks = masks_for(set(range(SHORTEST, SPAN)))
     a = _seed_table(docs, masks, False).select("h", F.col("id").alias("doc"), F.col("at").alias("p"))
     b = _seed_table(items, masks, True).select("h", F.col("id").alias("item"), F.col("at").alias("q"))
-    hits = a.join(b, "h").select("doc", "item", (F.col("p") - F.col("q")).alias("shift")).distinct()
+    # The words of a document and an item meet once, with all shifts to be tried.
+    hits = a.join(b, "h").select("doc", "item", (F.col("p") - F.col("q")).alias("shift")).groupBy("doc", "item").agg(F.collect_set("shift").alias("shifts"))
     texts = hits.join(items.select(F.col("id").alias("item"), F.col("text").alias("item_text")), "item").join(docs.select(F.col("id").alias("doc"), F.col("text").alias("doc_text")), "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = []
             cols = [batch.column(k).to_pylist() for k in range(3)]
-            for doc, item, d, t, u in zip(*cols, _tokens(batch.column(3)), _tokens(batch.column(4))):
-                if got := overlap(t, u, d):
-                    found.append((doc, item, got[0] + d, got[0], got[1], got[2]))
+            for doc, item, shifts, t, u in zip(*cols, _tokens(batch.column(3)), _tokens(batch.column(4))):
+                for d in sorted(shifts):
+                    if got := overlap(t, u, d):
+                        found.append((doc, item, got[0] + d, got[0], got[1], got[2]))
             yield _rows(found)
 
-    return texts.select("doc", "item", "shift", "item_text", "doc_text").mapInArrow(run, OUT)
+    long = texts.select("doc", "item", "shifts", "item_text", "doc_text").mapInArrow(run, OUT)
+    mine, theirs = docs.mapInArrow(_short_rows, "id long, n int, h long"), items.mapInArrow(_short_rows, "id long, n int, h long")
+    same = mine.select(F.col("id").alias("doc_id"), "n", "h").join(theirs.select(F.col("id").alias("item_id"), "n", "h"), ["n", "h"]).distinct()
+    zero = F.lit(0).cast("long")
+    return long.unionByName(same.select("doc_id", "item_id", zero.alias("doc_word"), zero.alias("item_word"), F.col("n").alias("n_words"), F.col("n").alias("n_same"), F.lit(1.0).alias("identity")))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
@@ -196,8 +229,11 @@ def overlaps(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_
     words in step on both sides, some replaced by others, of at least LEAST_WORDS
     agreeing words (all of them, for shorter items) and LEAST_IDENTITY. Of several
     overlaps the one with most agreeing words is kept, then most identity, then the
-    first. Rows with a null id, null and empty texts, and items of fewer than
-    SHORTEST words match nothing. Repeated rows count once. Other columns are ignored.
+    first. Items of fewer than SHORTEST words match documents that are the same
+    words and no more. Texts of any length are searched to the end. Rows with a null
+    id and texts without a word match nothing. Repeated rows count once, and several
+    texts of one id are its overlaps together. Other columns are ignored. No rows on
+    either side give none. Ids that aren't integers raise ValueError.
     """
     docs, items = id_text(docs, id_col, text_col), id_text(items, item_col, text_col)
     size = items.agg(F.sum(F.coalesce(F.regexp_count("text", F.lit("[^ \\t\\n\\r]+")), F.lit(0)))).first()[0] or 0

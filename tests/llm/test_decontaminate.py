@@ -69,6 +69,14 @@ def test_both_ways_agree(spark):
     assert {j for i, j in found(docs(spark, table), items(spark, bench)) if i == 100} == {100, 101}
 
 
+def test_items_of_a_few_words_match_the_same_words_only(spark):
+    bench = [(1, "too short an item"), (2, "Yes"), (3, ""), (4, "too short an item")]
+    table = [(1, "Too short -- an item!"), (2, "here is too short an item indeed"), (3, "yes"), (4, "yes yes"), (5, None), (6, "")]
+    for words in (0, 10**6):
+        got = decontaminate.overlaps(docs(spark, table), items(spark, bench), broadcast_words=words)
+        assert rows(got, "doc_id", "item_id", "n_words", "n_same", "identity") == [(1, 1, 4, 4, 1.0), (1, 4, 4, 4, 1.0), (3, 2, 1, 1, 1.0)]
+
+
 def test_substitutions_within_every_window(spark):
     """Every fifth word replaced: 0.8 of the words agree, and no six in a row do."""
     r, vocab = random.Random(8), vocabulary(2000, 8)
