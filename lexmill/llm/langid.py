@@ -22,7 +22,7 @@ FEATURES = 4096
 LENGTH = 15
 ROUNDS = 120
 #: Least lead, in nats of weighted loss, of the nearest codeword over the next; less is ambiguous.
-MARGIN = 0.1
+MARGIN = 0.3
 
 
 class Model(NamedTuple):
@@ -136,8 +136,11 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def train(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
     """Fitted on at most rows labelled rows a language: those whose hash is least among rows with a label and a text.
 
-    The hash is of the id and the text. Whole texts are counted, in Spark; only
-    their features come to the driver.
+    The hash is of the id and the text; of equal hashes the least text goes first.
+    Whole texts, however long, are counted, in Spark; only their features come to
+    the driver, of no more than rows times the number of languages. Rows with a null
+    label or text are left out, those with a null id aren't, and of repeated rows
+    each may be drawn. No labelled rows give a model without languages.
     """
     lang, text = F.col(lang_col).cast("string"), F.col(text_col).cast("string")
     labelled = docs.select(lang.alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h")).filter("lang is not null and text is not null")
@@ -159,9 +162,12 @@ def train(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", id
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", margin: float = MARGIN, names: tuple[str, str, str] = ("language", "lead", "accepted")) -> DataFrame:
     """docs with three more columns: the language, its lead over the next, and whether it is accepted.
 
-    Whole texts are counted. Not accepted: a lead under the margin (ambiguous), and
-    texts without a letter or null, whose language is null. Columns of docs with
-    the same names are replaced. With no language in the model nothing is accepted.
+    Whole texts are counted, however long. Not accepted: a lead under the margin
+    (ambiguous), and texts without a letter or null, whose language is null. Of
+    equally near languages the first in order is given, with a lead of 0. Repeated
+    rows are rows of their own, with equal results; ids don't count. Columns of docs
+    with the same names are replaced. With no language in the model nothing is
+    accepted. No rows give none.
     """
     language, lead, accepted = names
     kept = docs.select(*without(docs, *names))

@@ -125,3 +125,51 @@ def test_rows_without_id_are_drawn(spark):
     r = random.Random(8)
     table = [(None, sentence(r, lang, 6), lang, "src0", 1) for lang in ("aa", "bb") for _ in range(400)] + [(None, "oui eau ment", "cc", "src0", 1)] * 400
     assert langid.train(docs(spark, table), rows=10).languages == ["aa", "bb", "cc"]
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    """Features counted one by one in dictionaries, and codewords compared one by one, with the model that the query fits."""
+    from math import exp, log, sqrt
+
+    from lexmill.llm import queries
+
+    table = [*labelled(7, 120), (500, None, "aa", "src0", 1), (501, "", "bb", "src0", 1), (502, "12 !!", None, "src0", 1), (503, sentence(random.Random(1), "aa", 9) + " " + sentence(random.Random(2), "bb", 12), None, "src0", 1)]
+    docs(spark, table).write.parquet(f"{tmp_path}/documents.parquet")
+    model = langid.train(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+
+    def slow(text):
+        data, kept, before = (text or "").lower().encode(), [], False
+        for b in data:
+            letter = 97 <= b <= 122 or b >= 128
+            if letter or before:
+                kept.append(b if letter else 32)
+            before = letter
+        if not kept:
+            return None, 0.0, False
+        count, p2, p1 = {}, 32, 32
+        for x in kept:
+            for f in (((p1 * 0x9E3779B1 + x) * 0x85EBCA6B & 0xFFFFFFFF) >> 20, (((p2 * 0x9E3779B1 + p1) * 0xC2B2AE35 + x) * 0x27D4EB2F & 0xFFFFFFFF) >> 20):
+                count[f] = count.get(f, 0) + 1
+            p2, p1 = p1, x
+        total = sum(count.values())
+        scores = [float(model.weights[-1, k]) + sum(sqrt(n / total) * float(model.weights[f, k]) for f, n in count.items()) for k in range(model.code.shape[1])]
+        loss = sorted((sum(w * log(1 + exp(-max(-30, min(30, s * c)))) for w, s, c in zip(model.loss, scores, word)), i) for i, word in enumerate(model.code))
+        lead = loss[1][0] - loss[0][0]
+        return model.languages[loss[0][1]], lead, lead >= langid.MARGIN
+
+    got = {r["doc_id"]: r for r in queries.op6_language(spark, str(tmp_path)).collect()}
+    assert len(got) == len(table)
+    for i, text, *_ in table:
+        language, lead, accepted = slow(text)
+        assert got[i]["language"] == language and abs(got[i]["lead"] - lead) < 1e-3 and got[i]["accepted"] == accepted
+
+
+def test_training_rows_without_ids_count(spark):
+    """Null and repeated ids neither shut a language out nor pass the bound."""
+    r = random.Random(9)
+    table = [(None, sentence(r, "aa"), "aa", "s", 1) for _ in range(90)] + [(5, sentence(r, "bb"), "bb", "s", 1) for _ in range(90)] + [(None, sentence(r, "aa"), None, "s", 1), (None, None, "cc", "s", 1)]
+    model = langid.train(docs(spark, table), rows=40)
+    assert model.languages == ["aa", "bb"]
+    got = langid.identify(docs(spark, table[:180]), model).collect()
+    assert all(x["language"] == x["lang"] for x in got)
+    assert langid.train(docs(spark, [])).languages == []
