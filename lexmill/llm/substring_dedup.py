@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_text
+from .shared import id_text, written
 from .textkit import BLANK, mix, signed, words
 from .winnowing import anchors
 
@@ -92,18 +92,21 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     occurs in a document with a smaller id, so that it can be deleted and the
     earliest copy stays. Repeats within one document alone don't count.
 
-    Rows with a null id or text, and texts of fewer than LEAST words, have no
-    repeats. Rows with the same id are one document. No rows give no rows.
+    Every document that has a repeat is listed, the earliest too (later is false
+    there), and so are exact and near copies. Texts of any length are searched to
+    the end. Rows with a null id or text, and texts of fewer than LEAST words, have
+    no repeats. Rows with the same id are one document. Other columns are ignored.
+    No rows give no rows. Ids that aren't integers raise ValueError.
     """
     base = id_text(docs, id_col, text_col).filter("text is not null")
-    by_hash = Window.partitionBy("h")
-    shared = base.mapInArrow(_anchor_rows, "h long, id long").withColumn("lo", F.min("id").over(by_hash)).withColumn("hi", F.max("id").over(by_hash)).filter("lo <> hi")
-    lists = shared.groupBy("id").agg(F.collect_set("h").alias("hs"))
+    # Least and greatest ids are combined before the shuffle, however frequent an anchor or window is.
+    every = written(base.mapInArrow(_anchor_rows, "h long, id long"), "anchors")
+    shared = every.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("h")
+    lists = every.join(shared, "h").groupBy("id").agg(F.collect_set("h").alias("hs"))
     near = base.join(lists, "id").select("id", "text", "hs").mapInArrow(_window_rows, "h long, id long, start int, windows array<long>")
-    same = Window.partitionBy("h", "window")
-    each = near.repartition("h").select("h", "id", "start", F.posexplode("windows").alias("o", "window"))
-    each = each.withColumn("lo", F.min("id").over(same)).withColumn("hi", F.max("id").over(same)).filter("lo <> hi")
+    each = written(near.select("h", "id", "start", F.posexplode("windows").alias("o", "window")), "windows")
+    twice = each.groupBy("window").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("window", "lo")
     bit = F.expr("shiftleft(1L, o)")
-    flags = each.groupBy("h", "id", "start").agg(F.bit_or(bit).alias("bits"), F.bit_or(F.when(F.col("id") > F.col("lo"), bit).otherwise(F.lit(0).cast("long"))).alias("later"))
+    flags = each.join(twice, "window").groupBy("h", "id", "start").agg(F.bit_or(bit).alias("bits"), F.bit_or(F.when(F.col("id") > F.col("lo"), bit).otherwise(F.lit(0).cast("long"))).alias("later"))
     lined = flags.select("id", "start", "bits", "later").repartition("id").sortWithinPartitions("id", "start")
     return lined.mapInArrow(_runs, "doc_id long, first_word int, n_words int, later boolean")
