@@ -42,7 +42,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, default: float
     The draw is md5(seed, document id) scaled to [0, 1): the same in every run, on
     any cluster. Rows with a null id draw by their text. Repeated rows draw alike.
     Null or empty texts count no tokens and are emitted like the rest of their
-    source. copy_col: adds the number of the copy, from 1, replacing a column of
+    source; texts of any length count whole. No two rows compete, so ties don't
+    matter. copy_col: adds the number of the copy, from 1, replacing a column of
     that name; else the columns are those of docs. An empty table stays empty.
     """
     table = rates(docs, weights, default, budget, source_col=source_col, text_col=text_col).select(F.col("mix_source").alias("__mix_source"), F.col("rate").alias("__mix_rate"))
