@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm import decontaminate, langid, mixing, near_dedup, sharding
-from lexmill.llm.shared import minus, once
+from lexmill.llm.shared import minus, once, small_batches
 from lexmill.workspace import new_path, removed, swept
 
 
@@ -84,7 +84,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = new_path(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        with swept(spark):
+        with swept(spark), small_batches(spark):
             stage(spark, docs, sf_dir).write.parquet(f"{home}/{k}-{name}")
         docs = spark.read.parquet(f"{home}/{k}-{name}")
         if k:

@@ -3,24 +3,45 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from ..workspace import kept, shared_dir
 
 
+#: Rows in an Arrow batch, at most: a row is a whole document here, and executors hold a batch and what they make of it.
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs within send Python no more than BATCH_ROWS rows at once; after that the session's setting is as before."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df without its lineage, kept in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with small_batches(df.sparkSession):
+        return df.checkpoint()
 
 
-#: df written as Parquet to the shared folder and read again.
-written = kept
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again."""
+    with small_batches(df.sparkSession):
+        return kept(df, name)
 
 
 def without(df: DataFrame, *names: str) -> list[Column]:
@@ -29,10 +50,6 @@ def without(df: DataFrame, *names: str) -> list[Column]:
     return [df[f"`{c}`"] for c in df.columns if c.lower() not in low]
 
 
-#: Rows in an Arrow batch, at most: a row is a whole document here, and Python holds a batch and what it makes of it.
-BATCH_ROWS = 1000
-
-
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of no more than so many rows."""
     for batch in batches:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BLOCK = 1 << 17
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _POWERS: dict[str, np.ndarray] = {}
 
 
