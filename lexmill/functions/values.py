@@ -41,11 +41,11 @@ def decode(value: Column, *pairs: object, default: object = None) -> Column:
 
 def feature_map(fields: Column, delimiter: str = ":") -> Column:
     """Map of an array of "key:number" strings; malformed ones are skipped, of equal keys the last counts."""
-    pairs = F.transform(fields, lambda s: F.struct(F.substring_index(s, delimiter, 1).alias("k"), F.expr("null").cast("double").alias("v")))
-    pairs = F.transform(fields, lambda s: F.struct(F.element_at(F.split(s, delimiter, 2), 1).alias("k"), F.try_element_at(F.split(s, delimiter, 2), F.lit(2)).try_cast("double").alias("v")))
-    good = F.filter(pairs, lambda e: e["v"].isNotNull())
-    last = F.transform(F.array_distinct(F.transform(good, lambda e: e["k"])), lambda k: F.struct(k.alias("k"), F.element_at(F.filter(good, lambda e: e["k"] == k), -1)["v"].alias("v")))
-    return F.map_from_entries(last)
+    pairs = F.transform(fields, lambda s, i: F.struct(F.element_at(F.split(s, delimiter, 2), 1).alias("k"), i.alias("i"), F.try_element_at(F.split(s, delimiter, 2), F.lit(2)).try_cast("double").alias("v")))
+    placed = F.array_sort(F.filter(pairs, lambda e: e["v"].isNotNull()))
+    # The last of a key is the one whose successor has another.
+    last = F.filter(placed, lambda e, i: F.coalesce(F.get(placed, i + 1)["k"] != e["k"], F.lit(True)))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v"))))
 
 
 def shuffle_key(key: Column, seed: int = 0) -> Column:

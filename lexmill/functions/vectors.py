@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import to_dense, vector
+from ..schema import VECTOR, to_dense, vector
 
 
 def _values(v: Column) -> Column:
@@ -71,10 +69,11 @@ def minus(v: Column, number: Column) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    """Inner product of two vectors of equal cardinality; null if these differ."""
-    other = F.map_from_entries(b["features"])
-    total = F.aggregate(a["features"], F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(other, e["index"]), F.lit(0.0)))
-    return F.when(a["cardinality"] == b["cardinality"], total)
+    """Inner product of two vectors; those of different cardinality fail the job."""
+    # Entries of both in order of their indices: equal ones are next to each other.
+    both = F.array_sort(F.concat(a["features"], b["features"]))
+    total = F.aggregate(F.transform(both, lambda e, i: F.when(F.get(both, i + 1)["index"] == e["index"], e["value"] * F.get(both, i + 1)["value"]).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+    return F.when(a["cardinality"] == b["cardinality"], total).when(a.isNotNull() & b.isNotNull(), F.raise_error(F.lit("vectors of different cardinality")).cast("double"))
 
 
 def max_value(v: Column) -> Column:
@@ -117,8 +116,16 @@ def split(v: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda p: F.struct(p.alias("part"), vector(v["cardinality"], F.filter(v["features"], lambda e: e["index"] % n == p)).alias("vector")))
 
 
-def dense_sum(values: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, values)
+def regular(v: Column, part: int, modular: int) -> Column:
+    """The vector, if all its indices are part modulo modular, else the job fails."""
+    off = F.exists(v["features"], lambda e: F.pmod(e["index"], F.lit(modular)) != part)
+    return F.when(off, F.raise_error(F.lit(f"an index that isn't {part} modulo {modular}")).cast(VECTOR)).otherwise(v)
+
+
+def dumped(v: Column) -> Column:
+    """The vector as text: cardinality:{index:value,...}."""
+    pairs = F.transform(v["features"], lambda e: F.concat_ws(":", e["index"].cast("string"), e["value"].cast("string")))
+    return F.concat(v["cardinality"].cast("string"), F.lit(":{"), F.array_join(pairs, ","), F.lit("}"))
 
 
 # Maps and arrays as vectors; what a map lacks is zero.

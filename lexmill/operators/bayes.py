@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import small_label
+from ..workspace import small
 from .relational import numbered
 
 DEFAULT = "DEFAULT"
@@ -48,7 +49,7 @@ def scores(docs: DataFrame, model: DataFrame, alpha: float = ALPHA) -> DataFrame
     lift = model.select("label", "index", F.log((F.col("weight") + alpha) / F.lit(float(alpha))).alias("lift"))
     hits = docs.join(lift, "index").groupBy("id", "label").agg(F.sum(F.col("value") * F.col("lift")).alias("lift"))
     totals = docs.groupBy("id").agg(F.sum("value").alias("total"))
-    pairs = totals.crossJoin(base).join(hits, ["id", "label"], "left")
+    pairs = totals.crossJoin(small(base)).join(hits, ["id", "label"], "left")
     return pairs.select("id", "label", (F.coalesce("lift", F.lit(0.0)) + F.col("total") * F.log(F.lit(float(alpha)) / F.col("bottom"))).alias("score"))
 
 
@@ -107,6 +108,6 @@ def categorical_predict(rows: DataFrame, model: DataFrame, prior: str = "referen
     each = rows.select("id", F.explode("features").alias("feature", "value"))
     hits = each.join(model, ["feature", "value"]).groupBy("id", "label").agg(F.sum(F.log((F.col("n") + 1).cast("double"))).alias("lift"))
     size = rows.select("id", F.size("features").alias("nx"))
-    pairs = size.crossJoin(share).join(hits, ["id", "label"], "left")
+    pairs = size.crossJoin(small(share)).join(hits, ["id", "label"], "left")
     scored = pairs.select("id", "label", (F.col("prior") + F.coalesce("lift", F.lit(0.0)) - F.col("nx") * F.col("bottom")).alias("score"))
     return best(scored)

@@ -10,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import require_schema
+from ..sources.files import RollingStore
+from .relational import reservoir
+
 
 @dataclass(frozen=True)
 class Params:
@@ -144,8 +148,18 @@ def topic_counts(topics: DataFrame) -> DataFrame:
     return topics.groupBy("topic").agg(F.count("*").alias("n"))
 
 
-def keywords(finished_model: DataFrame, terms: DataFrame, k: int = 50) -> DataFrame:
-    """(topic, rank, term, value): the k most probable terms of each topic."""
-    order = Window.partitionBy("topic").orderBy(F.desc(F.round("value", 9)), "index")
+def titles(topics: DataFrame, names: DataFrame, k: int = 10, seed: str = "titles") -> DataFrame:
+    """(topic, title): k random documents of each topic, from (id, topic) and (id, title)."""
+    return reservoir(topics, k, "topic", "id", seed).join(names, "id").select("topic", "title")
+
+
+def load_model(store: RollingStore, n: int | None = None) -> DataFrame:
+    """(index, counts) of an iteration, the last by default; another schema raises ValueError."""
+    return require_schema(store.load(n), index="int", counts="array<double>")
+
+
+def keywords(finished_model: DataFrame, terms: DataFrame, k: int = 50, digits: int = 9) -> DataFrame:
+    """(topic, rank, term, value): the k most probable terms of each topic, by rounded probability, then index."""
+    order = Window.partitionBy("topic").orderBy(F.desc(F.round("value", digits)), "index")
     best = finished_model.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return best.join(terms, "index").select("topic", "rank", "term", F.round("value", 9).alias("value"))
+    return best.join(terms, "index").select("topic", "rank", "term", F.round("value", digits).alias("value"))

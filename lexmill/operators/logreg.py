@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from math import exp
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,16 +36,28 @@ def train(rows: DataFrame, members: int = 1, rate: float = RATE, key: str = "id"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models: dict[int, dict[str, float]] = {}
+        place: dict[str, int] = {}
+        thetas: dict[int, np.ndarray] = {}
         for batch in batches:
-            for member, label, pairs in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                fit([(label, dict(pairs))], rate, models.setdefault(member, {}))
-        for member, theta in models.items():
-            yield pa.record_batch([pa.array([member] * len(theta), pa.int32()), pa.array(list(theta), pa.string()), pa.array(list(theta.values()), pa.float64())], names=["member", "feature", "weight"])
+            features = batch.column(2)
+            keys = features.keys.dictionary_encode()
+            known = np.array([place.setdefault(k, len(place)) for k in keys.dictionary.to_pylist()], dtype=np.int64)
+            at, x = known[keys.indices.to_numpy(zero_copy_only=False)], features.items.to_numpy(zero_copy_only=False)
+            edge = features.offsets.to_numpy()
+            for member, label, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), edge, edge[1:]):
+                theta = thetas.get(member)
+                if theta is None or len(theta) < len(place):
+                    theta = thetas[member] = np.append(np.zeros(0) if theta is None else theta, np.full(2 * len(place) - (0 if theta is None else len(theta)), np.nan))
+                w = np.nan_to_num(theta[at[a:b]])
+                theta[at[a:b]] = w + rate * (label - sigmoid(float(x[a:b] @ w))) * x[a:b]
+        names = np.array(list(place), dtype=object)
+        for member, theta in thetas.items():
+            seen = np.flatnonzero(~np.isnan(theta[: len(names)]))  # features that the member met
+            yield pa.record_batch([pa.array(np.full(len(seen), member), pa.int32()), pa.array(names[seen], pa.string()), pa.array(theta[seen])], names=["member", "feature", "weight"])
 
     used = rows.filter(F.col("label").isNotNull() & (F.size("features") > 0))
     dealt = used.select(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(members)).cast("int").alias("member"), F.col("label").cast("int").alias("label"), "features", F.xxhash64(key, F.lit(seed + 1)).alias("turn"))
-    lined = dealt.repartition(members, "member").sortWithinPartitions("member", "turn").select("member", "label", "features")
+    lined = dealt.repartitionById(members, F.col("member")).sortWithinPartitions("member", "turn").select("member", "label", "features")
     return lined.mapInArrow(run, "member int, feature string, weight double")
 
 

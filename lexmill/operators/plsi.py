@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import kept
+
 
 def _t(k: int, mark: str = "t") -> list[str]:
     return [f"{mark}{z}" for z in range(k)]
@@ -46,6 +48,25 @@ def initial(n: DataFrame, k: int, symmetric: bool = True) -> tuple[DataFrame, Da
     return _by_column(words, "index", k), (_by_column if symmetric else _by_row)(docs, "id", k), p_z
 
 
+def randomly(n: DataFrame, k: int, seed: int = 0, symmetric: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """p_w, p_d, p_z to start from, drawn by a seeded hash: uniform in (0, 1) before each is made to sum to one."""
+
+    def draw(key: str, side: int, z: int) -> Column:
+        return (F.pmod(F.xxhash64(key, F.lit(side), F.lit(z), F.lit(seed)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+
+    words = n.select("index").distinct().select("index", *(draw("index", 0, z).alias(t) for z, t in enumerate(_t(k))))
+    docs = n.select("id").distinct().select("id", *(draw("id", 1, z).alias(t) for z, t in enumerate(_t(k))))
+    p_z = n.sparkSession.range(1).select(*(F.lit(1.0 / k).alias(t) for t in _t(k)))
+    return _by_column(words, "index", k), (_by_column if symmetric else _by_row)(docs, "id", k), p_z
+
+
+def require_slices(parts: DataFrame, slices: int) -> DataFrame:
+    """(part, id, index, value), if the words of each part are those of index modulo slices, else ValueError."""
+    if not parts.filter(F.col("part").isNull() | (F.col("part") != F.pmod("index", F.lit(slices)))).isEmpty():
+        raise ValueError(f"a word that isn't in its part of {slices}")
+    return parts
+
+
 def expected(n: DataFrame, p_w: DataFrame, p_d: DataFrame, p_z: DataFrame | None, k: int) -> DataFrame:
     """(id, index, t0, ...): value * P(z | d, w), zero where all topics are; with p_z the symmetric model."""
     w = p_w.select("index", *(F.col(t).alias(f"w{t}") for t in _t(k)))
@@ -64,14 +85,14 @@ def _sums(q: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def symmetric_step(n: DataFrame, p_w: DataFrame, p_d: DataFrame, p_z: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    q = expected(n, p_w, p_d, p_z, k)
+    q = kept(expected(n, p_w, p_d, p_z, k), "expected")  # read by three sums
     sums = q.agg(*(F.sum(t).alias(t) for t in _t(k)))
     whole = _plus([F.col(t) for t in _t(k)])
     return _by_column(_sums(q, "index", k), "index", k), _by_column(_sums(q, "id", k), "id", k), sums.select(*(F.coalesce(F.try_divide(F.col(t), whole), F.lit(0.0)).alias(t) for t in _t(k)))
 
 
 def asymmetric_step(n: DataFrame, p_w: DataFrame, p_d: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    q = expected(n, p_w, p_d, None, k)
+    q = kept(expected(n, p_w, p_d, None, k), "expected")
     return _by_column(_sums(q, "index", k), "index", k), _by_row(_sums(q, "id", k), "id", k)
 
 

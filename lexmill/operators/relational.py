@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import unit_draw
+from ..workspace import kept
 
 
 def sample(df: DataFrame, fraction: float, key: str, seed: str = "sample") -> DataFrame:
@@ -30,14 +31,16 @@ def shuffled(df: DataFrame, key: str, seed: str = "shuffle") -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
 
 
-def numbered(df: DataFrame, column: str, name: str = "index", prefix: int = 2) -> DataFrame:
-    """Places 0, 1, ... of distinct strings in their order, as a column name.
+def numbered(df: DataFrame, column: str, name: str = "index", kind: str = "int") -> DataFrame:
+    """Places 0, 1, ... of distinct values in their order, as a column name of that type; null first.
 
-    Ranks are taken within equal first characters and moved by the sizes of the
-    groups before, so that no task has to sort all rows.
+    Rows are dealt to ranges of the values, of equal size by a sample of them,
+    whatever they have in common. The ranges are written once; each is ranked on its
+    own and moved by the sizes of those before. More rows than kind can number fail.
     """
-    keyed = df.withColumn("__head", F.substring(F.col(column).cast("string"), 1, prefix))
-    sizes = keyed.groupBy("__head").agg(F.count("*").alias("__n"))
-    before = sizes.select("__head", (F.sum("__n").over(Window.orderBy("__head")) - F.col("__n")).alias("__before"))
-    local = keyed.withColumn("__rank", F.row_number().over(Window.partitionBy("__head").orderBy(column)))
-    return local.join(before, local["__head"].eqNullSafe(before["__head"])).withColumn(name, (F.col("__before") + F.col("__rank") - 1).cast("int")).select(*df.columns, name)
+    ranges = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
+    parted = kept(ranges.withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = parted.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    local = parted.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(column)))
+    return local.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__rank") - 1).cast(kind)).select(*df.columns, name)

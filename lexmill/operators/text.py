@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,30 @@ TOKEN = "[\\p{L}\\p{N}]+"
 ENGLISH_STOP_WORDS = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 
 
+def standard(text: Column) -> Column:
+    """Lower-case runs of letters and digits but English stop words."""
+    return tokens_of(text, ENGLISH_STOP_WORDS)
+
+
+def simple(text: Column) -> Column:
+    """Lower-case runs of letters."""
+    return F.regexp_extract_all(F.lower(text), F.lit("\\p{L}+"), F.lit(0))
+
+
+def whitespace(text: Column) -> Column:
+    """What blanks part, in the case that it has."""
+    return F.filter(F.split(text, "\\s+"), lambda t: t != "")
+
+
+def keyword(text: Column) -> Column:
+    """The text as one token."""
+    return F.when(text.isNotNull(), F.array(text))
+
+
+#: Analyzers by name.
+ANALYZERS: dict[str, Callable[[Column], Column]] = {f.__name__: f for f in (standard, simple, whitespace, keyword)}
+
+
 def tokens_of(text: Column, stop_words: Iterable[str] = ()) -> Column:
     """Lower-case runs of letters and digits, in order, repeats kept; null for null."""
     found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
@@ -21,9 +46,18 @@ def tokens_of(text: Column, stop_words: Iterable[str] = ()) -> Column:
     return F.filter(found, lambda t: ~t.isin(stop)) if stop else found
 
 
-def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text", stop_words: Iterable[str] = ()) -> DataFrame:
-    """(name, tokens); rows with a null key or text are dropped."""
-    return docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("name"), tokens_of(F.col(text), stop_words).alias("tokens"))
+def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text", stop_words: Iterable[str] = (), analyzer: str | Callable[[Column], Column] | None = None) -> DataFrame:
+    """(name, tokens); rows with a null key or text are dropped.
+
+    analyzer: one of ANALYZERS by name, or any function from a text column to one of
+    tokens; by default runs of letters and digits without the stop words given.
+    """
+    if isinstance(analyzer, str):
+        if analyzer not in ANALYZERS:
+            raise ValueError(f"unknown analyzer {analyzer!r}")
+        analyzer = ANALYZERS[analyzer]
+    tokens = analyzer(F.col(text)) if analyzer else tokens_of(F.col(text), stop_words)
+    return docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("name"), tokens.alias("tokens"))
 
 
 def counts(tokens: DataFrame) -> DataFrame:
@@ -46,11 +80,16 @@ def tf(count: DataFrame, terms: DataFrame) -> DataFrame:
     return count.join(terms, "term").select(F.col("name").alias("id"), "index", F.col("n").cast("double").alias("value"))
 
 
+def vectors_of(entries: DataFrame, names: DataFrame, cardinality: int) -> DataFrame:
+    """(id, vector) for every id of names from (id, index, value); an id without entries has an empty vector."""
+    known = from_long(entries, cardinality)
+    empty = F.from_json(F.lit(f'{{"cardinality": {cardinality}, "features": []}}'), known.schema["vector"].dataType)
+    return names.select("id").join(known, "id", "left").select("id", F.coalesce("vector", empty).alias("vector"))
+
+
 def tf_vectors(tokens: DataFrame, count: DataFrame, terms: DataFrame, cardinality: int) -> DataFrame:
     """(id, vector) of all documents; those without a term of the dictionary have no entries."""
-    known = from_long(tf(count, terms), cardinality)
-    empty = F.from_json(F.lit(f'{{"cardinality": {cardinality}, "features": []}}'), known.schema["vector"].dataType)
-    return tokens.select(F.col("name").alias("id")).join(known, "id", "left").select("id", F.coalesce("vector", empty).alias("vector"))
+    return vectors_of(tf(count, terms), tokens.select(F.col("name").alias("id")), cardinality)
 
 
 def df(freq: DataFrame) -> DataFrame:
@@ -58,6 +97,11 @@ def df(freq: DataFrame) -> DataFrame:
     return freq.groupBy("index").agg(F.count("*").alias("df"))
 
 
+def df_merged(*tables: DataFrame) -> DataFrame:
+    """(index, df) of several parts of a corpus together."""
+    return reduce(DataFrame.unionByName, tables).groupBy("index").agg(F.sum("df").alias("df"))
+
+
 def df_distribution(dfs: DataFrame) -> DataFrame:
     """(max_feature, num_feature, max_frequency, total_frequency)."""
     return dfs.agg(F.max("index").alias("max_feature"), F.count("*").alias("num_feature"), F.max("df").alias("max_frequency"), F.sum("df").alias("total_frequency"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import label_of, unit_draw
-from ..operators import bayes, logreg, text
-from .common import CORPUS_SQL, corpus, table
+from ..operators import bayes, classifier, logreg, text
+from ..workspace import kept, new_path, small, spread
+from .common import CORPUS_SQL, Corpus, table
 
 #: Members of the ensemble and buckets of its hashed terms.
 MEMBERS, BUCKETS = 4, 1024
@@ -28,7 +29,7 @@ def label_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_to_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = label_extract(spark, sf_dir)
-    return labels.join(F.broadcast(bayes.label_index(labels)), "label").select("id", "index")
+    return labels.join(small(bayes.label_index(labels)), "label").select("id", "index")
 
 
 def label_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +38,8 @@ def label_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    freq, labels = corpus(spark, sf_dir)[3], label_extract(spark, sf_dir)
-    return freq, labels, bayes.train(freq.join(labels, "id"))
+    freq, labels = Corpus(spark, sf_dir).freq, label_extract(spark, sf_dir)
+    return freq, labels, kept(bayes.train(freq.join(labels, "id")), "model")
 
 
 def stdnb_train(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +73,7 @@ def stdnb_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def confusion_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # As many rows as pairs of labels that occur.
     said = bayes.confusion_text(stdnb_confusion(spark, sf_dir).collect())
     return spark.createDataFrame([(said,)], "report string")
 
@@ -81,7 +83,7 @@ def accuracy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = F.create_map(F.lit("brand"), "p_brand", F.lit("size"), F.col("p_size").cast("string"), F.lit("word"), F.split("p_name", " ")[0])
+    features = F.create_map(F.lit("brand"), "p_brand", F.lit("size"), F.col("p_size").cast("string"), F.lit("name"), "p_name")
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("label"), features.alias("features"))
 
 
@@ -100,43 +102,65 @@ def catnb_predict_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, feature, x): share of each bucket of terms in a labelled document."""
-    count = text.counts(text.tokenize(table(spark, sf_dir, "documents")))
+    """(id, label, features): share of each bucket of terms in a labelled document."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality").filter("quality is not null")
     bucket = (F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % BUCKETS).cast("string")
-    each = count.withColumnRenamed("name", "id").join(labels, "id").groupBy("id", "quality", bucket.alias("feature")).agg(F.sum("n").alias("n"))
-    totals = each.groupBy("id").agg(F.sum("n").alias("all"))
-    return each.join(totals, "id").select("id", "quality", "feature", (F.col("n") / F.col("all")).alias("x"))
-
-
-def _rows(each: DataFrame) -> DataFrame:
-    return each.groupBy("id", F.col("quality").alias("label")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("feature", "x")))).alias("features"))
+    labelled = table(spark, sf_dir, "documents").select("doc_id", "text").join(small(labels), F.col("doc_id") == F.col("id"))
+    tokens = spread(labelled).select("id", "quality", F.explode(text.tokens_of(F.col("text"))).alias("term"))
+    each = tokens.groupBy("id", "quality", bucket.alias("feature")).agg(F.count("*").alias("n"))
+    rows = each.groupBy("id", F.col("quality").alias("label")).agg(F.sum("n").alias("all"), F.sort_array(F.collect_list(F.struct("feature", "n"))).alias("e"))
+    return kept(rows.select("id", "label", F.map_from_entries(F.transform("e", lambda e: F.struct(e["feature"], e["n"] / F.col("all")))).alias("features")), "hashed")
 
 
 def lr_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logreg.train(_rows(_hashed(spark, sf_dir)), MEMBERS, rate=1.0)
+    return logreg.train(_hashed(spark, sf_dir), MEMBERS)
 
 
 def lr_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trained on nine rows of ten, tested on the others."""
-    rows = _rows(_hashed(spark, sf_dir))
+    rows = _hashed(spark, sf_dir)
     draw = unit_draw(F.col("id"), "lr")
-    model = logreg.train(rows.filter(draw < 0.9), MEMBERS, rate=1.0)
+    model = logreg.train(rows.filter(draw < 0.9), MEMBERS)
     tested = rows.filter(draw >= 0.9)
-    return logreg.predict(tested, model, MEMBERS).join(tested.select("id", F.col("label").alias("actual")), "id")
+    return logreg.predict(tested, kept(model, "lr"), MEMBERS).join(tested.select("id", F.col("label").alias("actual")), "id")
 
 
 def lr_score_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights by formula instead of training, for two members."""
-    rows = _rows(_hashed(spark, sf_dir))
+    return logreg.predict(_hashed(spark, sf_dir), _fixed(spark), 2)
+
+
+def _fixed(spark: SparkSession) -> DataFrame:
     known = spark.range(BUCKETS).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("member"), F.col("id").cast("string").alias("feature"), (((F.col("id") * 31) % 101 - 50) / 10.0).alias("w"))
-    model = known.select("member", "feature", (F.col("w") * (F.col("member") + 1)).alias("weight"))
-    return logreg.predict(rows, model, 2)
+    return known.select("member", "feature", (F.col("w") * (F.col("member") + 1)).alias("weight"))
+
+
+def stored_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on two halves of the documents, each stored, and loaded as one model."""
+    freq, labels = Corpus(spark, sf_dir).freq, label_extract(spark, sf_dir)
+    path = new_path(spark, "stored")
+    for half in (0, 1):
+        classifier.save(bayes.train(freq.filter(F.pmod("id", F.lit(2)) == half).join(labels, "id")), path, "bayes")
+    return classifier.Classifier(spark, path, "bayes").predict(freq)
+
+
+def stored_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, path = _parts(spark, sf_dir), new_path(spark, "stored")
+    classifier.save(bayes.categorical_train(rows), path, "categorical")
+    return classifier.Classifier(spark, path, "categorical").predict(rows)
+
+
+def stored_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights by formula, each member stored on its own."""
+    path = new_path(spark, "stored")
+    for member in (0, 1):
+        classifier.save(_fixed(spark).filter(F.col("member") == member), path, "logistic")
+    return classifier.Classifier(spark, path, "logistic").predict(_hashed(spark, sf_dir))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (label_extract, label_index, label_to_index, label_names, stdnb_train, stdnb_label_weights, stdnb_feature_weights, stdnb_scores, stdnb_classify, stdnb_confusion, confusion_text, accuracy_match, catnb_counts, catnb_predict, catnb_predict_documents, lr_train, lr_predict, lr_score_fixed)
+    for f in (label_extract, label_index, label_to_index, label_names, stdnb_train, stdnb_label_weights, stdnb_feature_weights, stdnb_scores, stdnb_classify, stdnb_confusion, confusion_text, accuracy_match, catnb_counts, catnb_predict, catnb_predict_documents, lr_train, lr_predict, lr_score_fixed, stored_bayes, stored_categorical, stored_logistic)
 }
 
 _INDEX = "SELECT lang AS label, (row_number() OVER (ORDER BY lang) - 1)::INTEGER AS index FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)"
@@ -155,7 +179,7 @@ judged AS (SELECT id, best.label AS class, lab.label AS actual FROM best JOIN la
 )
 _CAT = """WITH f AS (SELECT p_partkey AS id, p_type AS label, 'brand' AS feature, p_brand AS value FROM part
   UNION ALL SELECT p_partkey, p_type, 'size', p_size::VARCHAR FROM part
-  UNION ALL SELECT p_partkey, p_type, 'word', string_split(p_name, ' ')[1] FROM part),
+  UNION ALL SELECT p_partkey, p_type, 'name', p_name FROM part),
 c AS (SELECT label, feature, value, count(*) AS n FROM f GROUP BY 1, 2, 3)
 """
 
@@ -189,3 +213,6 @@ d AS (SELECT id, sum(n * (((f * 31) % 101 - 50) / 10.0::DOUBLE)) / sum(n) AS dot
 s AS (SELECT id, (1 / (1 + exp(-dot)) + 1 / (1 + exp(-2 * dot))) / 2 AS score FROM d)
 SELECT id, (round(score, 9) >= 0.5)::INTEGER AS prediction, round(score, 6) AS score FROM s""",
 }
+ORACLE["stored_bayes"] = ORACLE["stdnb_classify"]
+ORACLE["stored_categorical"] = ORACLE["catnb_predict"]
+ORACLE["stored_logistic"] = ORACLE["lr_score_fixed"]

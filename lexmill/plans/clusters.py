@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import kmeans, lda, plsi
-from ..workspace import kept
-from .common import CORPUS_SQL, corpus, table
+from ..sources import files
+from ..workspace import kept, new_path
+from .common import CORPUS_SQL, Corpus, table
 
-#: Clusters and slots of the embeddings; topics of the topic models.
-K, DIM, Z = 10, 64, 3
-LDA = lda.Params(topics=Z, doc_iterations=2)
-LDA_ROUNDS = 3
+#: Clusters and slots of the embeddings; topics of PLSI.
+K, DIM, Z = 10, 64, 5
+LDA = lda.Params(topics=10, doc_iterations=10)
+#: Documents in a report of topics' titles.
+TITLES = 10
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +40,7 @@ def kmeans_two_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Term frequencies, written once: each step reads them several times."""
-    return kept(corpus(spark, sf_dir)[3], "tf")
+    return Corpus(spark, sf_dir).freq
 
 
 def plsi_sym_step(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,7 @@ def plsi_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lda_train_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _counts(spark, sf_dir)
     rows = lda.train(n, lda.initial(n, LDA), LDA).select("index", F.posexplode("counts").alias("topic", "value"))
-    return rows.withColumn("value", F.round("value", 6))
+    return rows.withColumn("value", F.round("value", 4))
 
 
 def lda_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,32 +95,48 @@ def lda_loss_per_word(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lda_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _counts(spark, sf_dir)
-    return lda.inference(n, lda.initial(n, LDA), LDA).select("id", F.posexplode("shares").alias("topic", "value")).withColumn("value", F.round("value", 6))
+    return lda.inference(n, lda.initial(n, LDA), LDA).select("id", F.posexplode("shares").alias("topic", "value")).withColumn("value", F.round("value", 5))
 
 
-def _trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Dictionary, term frequencies and the model after LDA_ROUNDS passes."""
-    _, _, terms, freq = corpus(spark, sf_dir)
-    freq = kept(freq, "tf")
-    model = lda.randomly(freq, LDA)
-    for _ in range(LDA_ROUNDS):
-        model = kept(lda.train(freq, model, LDA), "lda")
-    return terms, freq, model
+def _main_topics(spark: SparkSession, sf_dir: str) -> tuple[Corpus, DataFrame]:
+    c = Corpus(spark, sf_dir)
+    return c, kept(lda.main_topics(lda.inference(c.freq, lda.initial(c.freq, LDA), LDA)), "topics")
 
 
 def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, freq, model = _trained(spark, sf_dir)
-    return lda.topic_counts(lda.main_topics(lda.inference(freq, model, LDA)))
+    return lda.topic_counts(_main_topics(spark, sf_dir)[1])
+
+
+def topic_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random documents of each topic, by what they are called."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(":", "source", F.col("doc_id").cast("string")).alias("title"))
+    return lda.titles(_main_topics(spark, sf_dir)[1], docs, TITLES)
 
 
 def topic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms, _, model = _trained(spark, sf_dir)
-    return lda.keywords(lda.finished(model, LDA), terms)
+    """After one pass from the start by formula."""
+    c = Corpus(spark, sf_dir)
+    return lda.keywords(lda.finished(kept(lda.train(c.freq, lda.initial(c.freq, LDA), LDA), "lda"), LDA), c.terms, digits=7)
+
+
+def lda_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three passes from random counts, each a committed iteration of which the last is loaded by its number: sums of the counts."""
+    c = Corpus(spark, sf_dir)
+    store = files.RollingStore(spark, new_path(spark, "lda"))
+    store.run(lambda: lda.randomly(c.freq, LDA), lambda model: lda.train(c.freq, model, LDA), 3)
+    return lda.load_model(store, 3).agg(F.round(F.sum(F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)), 2).alias("total"), F.count("*").alias("n_terms"))
+
+
+def plsi_random_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the parameters drawn at random: each is a distribution."""
+    w, d, z = plsi.randomly(_counts(spark, sf_dir), Z, seed=3)
+    each = [plsi.long(w, "index", Z).select(F.lit("word").alias("kind"), "topic", "value"), plsi.long(d, "id", Z).select(F.lit("document").alias("kind"), "topic", "value")]
+    return reduce(DataFrame.union, each).groupBy("kind", "topic").agg(F.round(F.sum("value"), 6).alias("total"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (kmeans_update, kmeans_seed_assign, kmeans_two_rounds, plsi_sym_step, plsi_asym_step, plsi_posterior, plsi_likelihood, lda_train_step, lda_perplexity, lda_loss_per_word, lda_inference, topic_counts, topic_keywords)
+    for f in (kmeans_update, kmeans_seed_assign, kmeans_two_rounds, plsi_sym_step, plsi_asym_step, plsi_posterior, plsi_likelihood, lda_train_step, lda_perplexity, lda_loss_per_word, lda_inference, topic_counts, topic_titles, topic_keywords, lda_resumed, plsi_random_start)
 }
 
 _KM = """WITH p AS (SELECT vec_id AS id, generate_subscripts(embedding, 1)::INTEGER - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
@@ -164,11 +181,11 @@ _P = LDA
 
 def _lda() -> str:
     start = f"""WITH {CORPUS_SQL},
-zs AS (SELECT range::INTEGER AS z FROM range({Z})),
+zs AS (SELECT range::INTEGER AS z FROM range({_P.topics})),
 m AS MATERIALIZED (SELECT index, z, {_START.format(key="index", z="z")} AS c FROM (SELECT DISTINCT index FROM tf), zs),
 s AS (SELECT z, sum(c) AS s FROM m GROUP BY 1),
 lik AS MATERIALIZED (SELECT index, z, (c + {_P.eta}) / (s + {_P.eta} * (SELECT count(DISTINCT index) FROM m)) AS l FROM m JOIN s USING (z)),
-th0 AS (SELECT id, z, 1.0::DOUBLE / {Z} AS th FROM (SELECT DISTINCT id FROM tf), zs)
+th0 AS (SELECT id, z, 1.0::DOUBLE / {_P.topics} AS th FROM (SELECT DISTINCT id FROM tf), zs)
 """
     for i in range(1, _P.doc_iterations + 1):
         start += f""", q{i} AS MATERIALIZED (SELECT id, index, z, value * p / sum(p) OVER (PARTITION BY id, index) AS q FROM (SELECT tf.id, tf.index, z, value, l * (th + {_P.alpha}) AS p FROM tf JOIN lik USING (index) JOIN th{i - 1} USING (id, z)))
@@ -177,7 +194,10 @@ th0 AS (SELECT id, z, 1.0::DOUBLE / {Z} AS th FROM (SELECT DISTINCT id FROM tf),
     return start
 
 
-_LOSS = _lda() + f""", ll AS (SELECT id, index, value, sum(l * (th + {_P.alpha}) / (1 + {Z} * {_P.alpha})) AS p FROM tf JOIN lik USING (index) JOIN th{_P.doc_iterations} USING (id, z) GROUP BY 1, 2, 3)
+_LOSS = _lda() + f""", ll AS (SELECT id, index, value, sum(l * (th + {_P.alpha}) / (1 + {_P.topics} * {_P.alpha})) AS p FROM tf JOIN lik USING (index) JOIN th{_P.doc_iterations} USING (id, z) GROUP BY 1, 2, 3)
+"""
+
+_MAIN = _lda() + f""", main AS MATERIALIZED (SELECT id, z AS topic FROM (SELECT id, z, row_number() OVER (PARTITION BY id ORDER BY round(th, 6) DESC, z) AS k FROM th{_P.doc_iterations}) WHERE k = 1)
 """
 
 ORACLE = {
@@ -189,8 +209,16 @@ UNION ALL SELECT 'document', id, z, round(d, 8) FROM d1 UNION ALL SELECT 'topic'
     "plsi_asym_step": _plsi(False) + "SELECT 'word' AS kind, index::BIGINT AS key, z AS topic, round(w, 8) AS value FROM w1 UNION ALL SELECT 'document', id, z, round(d, 8) FROM d1",
     "plsi_posterior": _plsi(True) + f"SELECT id, index, {', '.join(f'round(max(CASE WHEN z = {i} THEN q END), 6) AS t{i}' for i in range(Z))} FROM q GROUP BY 1, 2",
     "plsi_likelihood": " UNION ALL ".join(f"({_lik(sym, step)})" for sym in (True, False) for step in (0, 1)),
-    "lda_train_step": _lda() + f"SELECT index, z AS topic, round(sum(q), 6) AS value FROM q{_P.doc_iterations} GROUP BY 1, 2",
-    "lda_inference": _lda() + f"SELECT id, z AS topic, round(th, 6) AS value FROM th{_P.doc_iterations}",
+    "lda_train_step": _lda() + f"SELECT index, z AS topic, round(sum(q), 4) AS value FROM q{_P.doc_iterations} GROUP BY 1, 2",
+    "lda_inference": _lda() + f"SELECT id, z AS topic, round(th, 5) AS value FROM th{_P.doc_iterations}",
     "lda_perplexity": _LOSS + "SELECT id, sum(value) AS words, round(-sum(value * ln(p)), 4) AS loss FROM ll GROUP BY 1",
     "lda_loss_per_word": _LOSS + "SELECT round(-sum(value * ln(p)) / sum(value), 6) AS loss_per_word FROM ll",
+    "topic_counts": _MAIN + "SELECT topic, count(*) AS n FROM main GROUP BY 1",
+    "topic_titles": _MAIN + f"""SELECT topic, source || ':' || doc_id AS title FROM (SELECT topic, id, row_number() OVER (PARTITION BY topic ORDER BY md5('titles:' || id::VARCHAR), id) AS k FROM main) JOIN documents ON doc_id = id WHERE k <= {TITLES}""",
+    "topic_keywords": _lda() + f""", m1 AS MATERIALIZED (SELECT index, z, sum(q) AS c FROM q{_P.doc_iterations} GROUP BY 1, 2),
+f AS (SELECT index, z, round(c / sum(c) OVER (PARTITION BY z), 7) AS value FROM m1),
+r AS (SELECT *, row_number() OVER (PARTITION BY z ORDER BY value DESC, index) AS rank FROM f)
+SELECT z AS topic, rank::INTEGER AS rank, term, value FROM r JOIN dict USING (index) WHERE rank <= 50""",
+    "lda_resumed": f"WITH {CORPUS_SQL} SELECT round(sum(value), 2) AS total, count(DISTINCT index) AS n_terms FROM tf",
+    "plsi_random_start": f"SELECT kind, range::INTEGER AS topic, 1.0::DOUBLE AS total FROM range({Z}), (VALUES ('word'), ('document')) AS k(kind)",
 }

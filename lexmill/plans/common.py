@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import text
 from ..schema import from_long
+from ..workspace import kept, spread
 
 #: Least occurrences of a dictionary's terms.
 MIN_SUPPORT = 2
@@ -18,12 +21,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Tokens, counts, dictionary and term frequencies of the documents."""
-    tokens = text.tokenize(table(spark, sf_dir, "documents"))
-    count = text.counts(tokens)
-    terms = text.dictionary(count, MIN_SUPPORT)
-    return tokens, count, terms, text.tf(count, terms)
+class Corpus:
+    """Tokens, counts, dictionary and term frequencies of the documents; texts are tokenised once, when the counts are written."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return text.tokenize(spread(self.docs), analyzer=text.standard)
+
+    @cached_property
+    def names(self) -> DataFrame:
+        """(id) of the documents with a text."""
+        return self.docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"))
+
+    @cached_property
+    def count(self) -> DataFrame:
+        return kept(text.counts(self.tokens), "counts")
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        return kept(text.dictionary(self.count, MIN_SUPPORT), "terms")
+
+    @cached_property
+    def freq(self) -> DataFrame:
+        return kept(text.tf(self.count, self.terms), "tf")
 
 
 def customer_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +71,7 @@ def with_nation(vectors: DataFrame, spark: SparkSession, sf_dir: str) -> DataFra
 
 CORPUS_SQL = f"""
 tok AS (SELECT doc_id AS name, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM documents WHERE text IS NOT NULL),
-cnt AS MATERIALIZED (SELECT name, term, count(*) AS n FROM tok GROUP BY 1, 2),
+cnt AS MATERIALIZED (SELECT name, term, count(*) AS n FROM tok WHERE term NOT IN ({", ".join(f"'{w}'" for w in text.ENGLISH_STOP_WORDS)}) GROUP BY 1, 2),
 dict AS MATERIALIZED (SELECT term, (row_number() OVER (ORDER BY term) - 1)::INTEGER AS index FROM (SELECT term FROM cnt GROUP BY 1 HAVING sum(n) >= {MIN_SUPPORT})),
 tf AS MATERIALIZED (SELECT name AS id, index, n::DOUBLE AS value FROM cnt JOIN dict USING (term))
 """

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import named
 from ..functions.values import feature_map
+from ..functions.vectors import dumped
 from ..operators import kmeans, matrix
-from ..schema import to_long
+from ..schema import converted, to_long, to_vector
 from ..sources import files, gaussian, svmlight
 from ..streaming import scoring
 from ..workspace import new_path
@@ -50,10 +54,42 @@ def vector_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grouped_store_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors stored by customer modulo 4, of which one part is read."""
+    """Vectors stored by customer modulo 4, and every part read again on its own."""
     path = new_path(spark, "grouped")
     files.write_grouped(customer_vectors(spark, sf_dir).withColumn("part", (F.col("id") % 4).cast("int")), path)
-    return to_long(files.read_part(spark, path, 1))
+    return reduce(DataFrame.union, [to_long(files.read_part(spark, path, k)).withColumn("part", F.lit(k)) for k in range(4)])
+
+
+def side_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of each part of a grouped store, a part an iteration, until all are done."""
+    path, out = new_path(spark, "parts"), new_path(spark, "done")
+    files.write_grouped(customer_vectors(spark, sf_dir).withColumn("part", (F.col("id") % 4).cast("int")), path)
+    while not (side := files.PartIteration(spark, path, out)).done():
+        side.save(to_long(side.part()).agg(F.count("*").alias("n"), F.sum("value").alias("total")))
+    return side.results()
+
+
+def vector_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return customer_vectors(spark, sf_dir).select("id", dumped(F.col("vector")).alias("dumped"))
+
+
+def vector_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors and their entries."""
+    return customer_vectors(spark, sf_dir).agg(F.count("*").alias("n"), F.sum(F.size("vector.features")).alias("n_entries"))
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions called by name, in SQL."""
+    named.register(spark)
+    customer_vectors(spark, sf_dir).createOrReplaceTempView("customer_vectors")
+    return spark.sql("SELECT id, vector_zsum(vector) AS zsum, vector_zsum(vector_times(vector, 2)) AS twice, size(vector_indices(vector)) AS n, confine(vector_max(vector), 0, 50) AS most FROM customer_vectors")
+
+
+def vector_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense floats, and entries without a cardinality, as canonical vectors and back in order."""
+    dense = customer_vectors(spark, sf_dir).withColumn("vector", converted(F.col("vector"), dense=True, float_precision=True))
+    sparse = to_vector(dense, "vector").withColumn("vector", converted(F.col("vector"), sequential=True))
+    return to_long(to_vector(sparse, "vector", SLOTS))
 
 
 def row_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +132,7 @@ def stream_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (svmlight_parse, svmlight_files, feature_extract, vector_store_roundtrip, grouped_store_part, row_id_store, strings_store_roundtrip, matrix_store_roundtrip, rolling_store_roundtrip, gaussian_source, stream_assign)
+    for f in (svmlight_parse, svmlight_files, feature_extract, vector_store_roundtrip, grouped_store_part, side_parts, vector_dump, vector_count, sql_functions, vector_conversion, row_id_store, strings_store_roundtrip, matrix_store_roundtrip, rolling_store_roundtrip, gaussian_source, stream_assign)
 }
 
 _SVM = f"""WITH s AS (SELECT l_orderkey, l_returnflag AS label, (l_partkey % {SLOTS})::VARCHAR AS feature, last(l_quantity::INTEGER::DOUBLE ORDER BY l_linenumber, (l_partkey % {SLOTS})::VARCHAR || ':' || l_quantity::INTEGER::VARCHAR) AS value
@@ -108,7 +144,12 @@ ORACLE = {
     "svmlight_files": _SVM + "SELECT label, feature, count(*) AS n, sum(value) AS value FROM s GROUP BY 1, 2",
     "feature_extract": "SELECT p_partkey, 'size' AS feature, p_size::DOUBLE AS value FROM part UNION ALL SELECT p_partkey, 'key', p_partkey::DOUBLE FROM part",
     "vector_store_roundtrip": f"WITH {VECTOR_SQL} SELECT * FROM cv",
-    "grouped_store_part": f"WITH {VECTOR_SQL} SELECT * FROM cv WHERE id % 4 = 1",
+    "grouped_store_part": f"WITH {VECTOR_SQL} SELECT *, (id % 4)::INTEGER AS part FROM cv",
+    "side_parts": f"WITH {VECTOR_SQL} SELECT (id % 4)::INTEGER AS part, count(*) AS n, sum(value) AS total FROM cv GROUP BY 1",
+    "vector_dump": f"WITH {VECTOR_SQL} SELECT id, '{SLOTS}:{{' || string_agg(index || ':' || value, ',' ORDER BY index) || '}}' AS dumped FROM cv GROUP BY 1",
+    "vector_count": f"WITH {VECTOR_SQL} SELECT count(DISTINCT id) AS n, count(*) AS n_entries FROM cv",
+    "sql_functions": f"WITH {VECTOR_SQL} SELECT id, sum(value) AS zsum, sum(value) * 2 AS twice, count(*)::INTEGER AS n, least(50, max(value))::DOUBLE AS most FROM cv GROUP BY 1",
+    "vector_conversion": f"WITH {VECTOR_SQL} SELECT * FROM cv",
     "row_id_store": f"WITH {VECTOR_SQL}, ids AS (SELECT name, (row_number() OVER (ORDER BY name) - 1)::INTEGER AS id FROM (SELECT DISTINCT id::VARCHAR AS name FROM cv)) SELECT ids.id, index, value, name FROM cv JOIN ids ON name = cv.id::VARCHAR",
     "strings_store_roundtrip": "SELECT p_partkey AS key, generate_subscripts(string_split(p_name, ' '), 1)::INTEGER - 1 AS at, unnest(string_split(p_name, ' ')) AS word FROM part",
     "matrix_store_roundtrip": "SELECT c_nationkey AS row, length(c_mktsegment)::INTEGER AS col, count(*)::DOUBLE AS value FROM customer GROUP BY 1, 2",

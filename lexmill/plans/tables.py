@@ -76,7 +76,9 @@ def distinct_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.monotonically_increasing_id().alias("row_id"))
+    """Rows and ids given to them, which differ."""
+    rows = table(spark, sf_dir, "orders").select(F.monotonically_increasing_id().alias("row_id"))
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("n_ids"))
 
 
 def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +124,8 @@ def _draw(key: str, seed: str) -> str:
 def _roll_sql(size: int, step: int) -> str:
     leads = ", ".join(f"lead(text, {i}) OVER o AS t{i}" for i in range(1, size))
     joined = " || ' | ' || ".join(["text", *(f"t{i}" for i in range(1, size))])
-    return f"""SELECT conv_id, at::INTEGER AS begin, {joined} AS joined FROM (SELECT conv_id, row_number() OVER o - 1 AS at, text, {leads}, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn, text))
-WHERE at % {step} = 0 AND at + {size} <= n"""
+    return f"""SELECT conv_id, pos::INTEGER AS begin, {joined} AS joined FROM (SELECT conv_id, row_number() OVER o - 1 AS pos, text, {leads}, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn, text))
+WHERE pos % {step} = 0 AND pos + {size} <= n"""
 
 
 ORACLE = {
@@ -140,6 +142,7 @@ ORACLE = {
     "random_groups": f"SELECT floor({_draw('doc_id', 'group')} * 8)::INTEGER AS grp, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY 1",
     "shuffled_order": "SELECT doc_id, (row_number() OVER (ORDER BY md5('shuffle:' || doc_id::VARCHAR), doc_id) - 1)::INTEGER AS place FROM documents",
     "distinct_rank": "SELECT source, (row_number() OVER (ORDER BY source) - 1)::INTEGER AS index FROM (SELECT DISTINCT source FROM documents)",
+    "unique_ids": "SELECT count(*) AS n, count(*) AS n_ids FROM orders",
     "json_flatten": "SELECT event_id, props->>'k' AS k, props->'missing'->>'path' AS missing_path FROM events",
     "roll_bag_2": _roll_sql(2, 1),
     "roll_bag_3_step2": _roll_sql(3, 2),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import text
 from ..schema import to_long
-from .common import CORPUS_SQL, MIN_SUPPORT, corpus, table
+from ..workspace import spread
+from .common import CORPUS_SQL, MIN_SUPPORT, Corpus, table
 
 TOP = 10
 
@@ -17,8 +18,8 @@ def corpus_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    _, _, terms, freq = corpus(spark, sf_dir)
-    return text.tfidf(freq, corpus_total(spark, sf_dir)), terms
+    c = Corpus(spark, sf_dir)
+    return text.tfidf(c.freq, corpus_total(spark, sf_dir)), c.terms
 
 
 def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,32 +32,59 @@ def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("id", "index", F.round("value", 6).alias("value"))
 
 
+def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for every document, those without a weighed term too."""
+    c = Corpus(spark, sf_dir)
+    got = _described(text.vectors_of(text.tfidf(c.freq, corpus_total(spark, sf_dir)), c.names, c.terms.count()))
+    return got.withColumn("total", F.round("total", 4))
+
+
+def analyzers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document by each analyzer."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sizes = [F.size(f(F.col("text"))).alias(name) for name, f in text.ANALYZERS.items()]
+    return docs.filter("text is not null").select("doc_id", *sizes)
+
+
+def corpus_tf_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum of all term frequencies."""
+    return Corpus(spark, sf_dir).freq.agg(F.sum("value").alias("total"))
+
+
+def df_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequencies of two halves of the corpus, merged."""
+    freq = Corpus(spark, sf_dir).freq
+    return text.df_merged(*(text.df(freq.filter(F.pmod("id", F.lit(2)) == k)) for k in (0, 1)))
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = text.tokenize(table(spark, sf_dir, "documents"), stop_words=text.ENGLISH_STOP_WORDS)
     return found.select("name", F.size("tokens").alias("n_tokens"), F.concat_ws(" ", "tokens").alias("joined"))
 
 
 def term_min_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, count, _, _ = corpus(spark, sf_dir)
-    return text.term_totals(count, MIN_SUPPORT)
+    return text.term_totals(Corpus(spark, sf_dir).count, MIN_SUPPORT)
 
 
 def dict_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir)[2]
+    return Corpus(spark, sf_dir).terms
 
 
 def tf_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir)[3]
+    return Corpus(spark, sf_dir).freq
 
 
 def tf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, count, terms, _ = corpus(spark, sf_dir)
-    vectors = text.tf_vectors(found, count, terms, terms.count())
+    c = Corpus(spark, sf_dir)
+    return _described(text.vectors_of(c.freq, c.names, c.terms.count()))
+
+
+def _described(vectors: DataFrame) -> DataFrame:
     return vectors.select("id", "vector.cardinality", F.size("vector.features").alias("n_entries"), F.aggregate("vector.features", F.lit(0.0), lambda a, e: a + e["value"]).alias("total"))
 
 
 def df_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.df(corpus(spark, sf_dir)[3])
+    return text.df(Corpus(spark, sf_dir).freq)
 
 
 def df_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +100,12 @@ def row_ids_docindex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_ids_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, count, terms, _ = corpus(spark, sf_dir)
-    named = text.tf_vectors(found, count, terms, terms.count()).withColumn("name", F.col("id").cast("string")).select("name", "vector")
+    c = Corpus(spark, sf_dir)
+    named = text.vectors_of(c.freq, c.names, c.terms.count()).withColumn("name", F.col("id").cast("string")).select("name", "vector")
     return to_long(named.join(_names(spark, sf_dir), "name").select("id", "vector"))
 
 
-QUERIES = {f.__name__: f for f in (tfidf_top_terms, tfidf, tokens, term_min_support, dict_encode, tf_long, tf_vectors, df_table, df_distribution, corpus_total, row_ids_docindex, row_ids_matrix)}
+QUERIES = {f.__name__: f for f in (tfidf_top_terms, tfidf, tfidf_vectors, analyzers, corpus_tf_sum, df_merged, tokens, term_min_support, dict_encode, tf_long, tf_vectors, df_table, df_distribution, corpus_total, row_ids_docindex, row_ids_matrix)}
 
 _TFIDF_SQL = f"""WITH {CORPUS_SQL},
 total AS (SELECT count(text) AS total FROM documents),
@@ -91,6 +119,12 @@ ORACLE = {
     "tfidf_top_terms": _TFIDF_SQL + f""", r AS (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY round(value, 6) DESC, index))::INTEGER AS rank FROM w)
 SELECT id, rank, term, round(value, 6) AS value FROM r JOIN dict USING (index) WHERE rank <= {TOP}""",
     "tfidf": _TFIDF_SQL + "SELECT id, index, round(value, 6) AS value FROM w",
+    "tfidf_vectors": _TFIDF_SQL + """SELECT doc_id AS id, (SELECT count(*) FROM dict)::INTEGER AS cardinality, count(index)::INTEGER AS n_entries, round(coalesce(sum(value), 0), 4) AS total
+FROM documents LEFT JOIN w ON w.id = doc_id WHERE text IS NOT NULL GROUP BY 1""",
+    "analyzers": f"""SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: x NOT IN ({_STOP})))::INTEGER AS standard, len(regexp_extract_all(lower(text), '\\p{{L}}+'))::INTEGER AS simple,
+len(regexp_extract_all(text, '[^\\s\\v]+'))::INTEGER AS whitespace, 1 AS keyword FROM documents WHERE text IS NOT NULL""",
+    "corpus_tf_sum": f"WITH {CORPUS_SQL} SELECT sum(value) AS total FROM tf",
+    "df_merged": f"WITH {CORPUS_SQL} SELECT index, count(*) AS df FROM tf GROUP BY 1",
     "tokens": f"""WITH t AS (SELECT doc_id AS name, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: x NOT IN ({_STOP})) AS tokens FROM documents WHERE text IS NOT NULL)
 SELECT name, len(tokens)::INTEGER AS n_tokens, array_to_string(tokens, ' ') AS joined FROM t""",
     "term_min_support": f"WITH {CORPUS_SQL} SELECT term, sum(n)::BIGINT AS n FROM cnt GROUP BY 1 HAVING sum(n) >= {MIN_SUPPORT}",

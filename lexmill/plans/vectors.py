@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import aggregates, matrix
 from ..schema import to_dense, to_long, to_sparse
+from ..workspace import small
 from .common import SLOTS, VECTOR_SQL, customer_vectors, table, with_nation
 
 def _by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +55,7 @@ def _ranked(change, name: str):
 def vector_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _by_nation(spark, sf_dir)
     sums = aggregates.vector_sum(rows, "nation").withColumnRenamed("vector", "whole")
-    return rows.join(F.broadcast(sums), "nation").select("id", V.dot(F.col("vector"), F.col("whole")).alias("result"))
+    return rows.join(small(sums), "nation").select("id", V.dot(F.col("vector"), F.col("whole")).alias("result"))
 
 
 def vector_split(spark: SparkSession, sf_dir: str) -> DataFrame:

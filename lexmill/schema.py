@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, NumericType, StructField, StructType
 
 ENTRY = StructType([StructField("index", IntegerType()), StructField("value", DoubleType())])
 VECTOR = StructType([StructField("cardinality", IntegerType()), StructField("features", ArrayType(ENTRY))])
@@ -60,9 +60,12 @@ def from_long(rows: DataFrame, cardinality: int | Column, key: str = "id") -> Da
 
 
 def to_dense(v: Column) -> Column:
-    """All slots of a vector as array<double>."""
-    known = F.map_from_entries(v["features"])
-    return F.when(v["cardinality"] > 0, F.transform(F.sequence(F.lit(0), v["cardinality"] - 1), lambda i: F.coalesce(F.try_element_at(known, i), F.lit(0.0)))).when(v["cardinality"] == 0, F.array().cast("array<double>"))
+    """All slots of a vector as array<double>; in one pass over its sorted entries."""
+    entries, zeros = v["features"], lambda n: F.array_repeat(F.lit(0.0), n)
+    # Each entry with the zeros before it, from the entry before; then the zeros after the last.
+    runs = F.transform(entries, lambda e, i: F.concat(zeros(e["index"] - F.coalesce(F.get(entries, i - 1)["index"], F.lit(-1)) - 1), F.array(e["value"])))
+    last = F.coalesce(F.get(entries, F.size(entries) - 1)["index"], F.lit(-1))
+    return F.when(v.isNotNull(), F.concat(F.flatten(runs), zeros(v["cardinality"] - last - 1)))
 
 
 def to_sparse(values: Column) -> Column:
@@ -74,3 +77,43 @@ def to_sparse(values: Column) -> Column:
 def resized(v: Column, cardinality: int) -> Column:
     """The vector with another cardinality; entries beyond it are dropped."""
     return F.when(v.isNotNull(), vector(F.lit(cardinality), F.filter(v["features"], lambda e: (e["index"] >= 0) & (e["index"] < cardinality))))
+
+
+def kind_of(df: DataFrame, name: str) -> str:
+    """dense, sparse or cardinality_sparse: what form of vector a column has, by its type; others raise ValueError."""
+    kind = df.schema[name].dataType
+    entries = kind.elementType if isinstance(kind, ArrayType) else None
+    if isinstance(entries, NumericType):
+        return "dense"
+    if isinstance(entries, StructType) and [f.name for f in entries] == ["index", "value"]:
+        return "sparse"
+    if kind == VECTOR or isinstance(kind, StructType) and [f.name for f in kind] == ["cardinality", "features"]:
+        return "cardinality_sparse"
+    raise ValueError(f"{name} is no vector: {kind.simpleString()}")
+
+
+def to_vector(df: DataFrame, name: str, cardinality: int | None = None) -> DataFrame:
+    """df with a column of any form of vector as the canonical one; cardinality is needed for sparse ones, and resizes others."""
+    kind, column = kind_of(df, name), F.col(name)
+    if kind == "sparse":
+        if cardinality is None:
+            raise ValueError("sparse entries alone have no cardinality")
+        column = F.when(column.isNotNull(), vector(F.lit(cardinality), clean(column.cast(ENTRIES))))
+    elif kind == "dense":
+        column = to_sparse(column)
+    return df.withColumn(name, column if cardinality is None else resized(column, cardinality))
+
+
+def converted(v: Column, *, dense: bool = False, sparse: bool = False, sequential: bool = False, float_precision: bool = False, cardinality: int | None = None) -> Column:
+    """A vector in another form: all slots (dense) or entries, in order (sequential, which implies sparse), of floats or doubles.
+
+    dense goes neither with sparse nor with sequential (ValueError); cardinality resizes first.
+    """
+    if dense and (sparse or sequential):
+        raise ValueError("a vector is dense, or it is sparse or sequential")
+    v = v if cardinality is None else resized(v, cardinality)
+    number = "float" if float_precision else "double"
+    if dense:
+        return to_dense(v).cast(f"array<{number}>")
+    entries = f"array<struct<index:int,value:{number}>>"
+    return F.when(v.isNotNull(), (F.array_sort(v["features"]) if sequential else v["features"]).cast(entries))

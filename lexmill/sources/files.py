@@ -123,6 +123,34 @@ class RollingStore:
         return self.load()
 
 
+class PartIteration:
+    """The parts of a grouped store one after another: each run handles the first whose result isn't there yet."""
+
+    def __init__(self, spark: SparkSession, path: str, out: str, part: str = "part") -> None:
+        self.spark, self.path, self.out, self.name = spark, path, out.rstrip("/"), part
+        # Names of folders; as many as parts.
+        self.parts = sorted(r[0] for r in spark.read.parquet(path).select(part).distinct().collect())
+
+    def _left(self) -> list:
+        return [p for p in self.parts if not (fs := _fs(self.spark, f"{self.out}/{self.name}={p}/_SUCCESS"))[0].exists(fs[1])]
+
+    def done(self) -> bool:
+        return not self._left()
+
+    def part(self) -> DataFrame:
+        """Rows of the part that is next; StopIteration if all are done."""
+        if self.done():
+            raise StopIteration(f"all {len(self.parts)} parts are done")
+        return read_part(self.spark, self.path, self._left()[0], self.name)
+
+    def save(self, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{self.out}/{self.name}={self._left()[0]}")
+
+    def results(self) -> DataFrame:
+        """Results of all parts, with the part."""
+        return self.spark.read.parquet(self.out)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(value): lines without their ends."""
     return spark.read.text(path)

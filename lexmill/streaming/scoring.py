@@ -10,8 +10,14 @@ from ..workspace import new_path
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
-    """The Parquet files of path as a stream, with the schema that they have now."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """The Parquet files of a folder, or one file, as a stream, with the schema that they have now."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return reader.parquet(path)
+    # A stream's source is a folder: that of the file, with only its name let through.
+    return reader.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
 
 
 def scored(stream: DataFrame, score: Callable[[DataFrame], DataFrame], out: str | None = None, checkpoint: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import bayes, kmeans, lda, logreg, plsi
+from lexmill.operators import bayes, classifier, kmeans, lda, logreg, plsi
 
 FREQ = "id int, index int, value double"
 
@@ -178,3 +178,53 @@ def test_random_start_is_repeatable(spark):
     n, p = freq(spark, counts(4)), lda.Params(topics=2)
     a, b, c = (sorted(map(repr, lda.randomly(n, p, s).collect())) for s in (1, 1, 2))
     assert a == b != c
+
+
+def test_stored_models_are_merged(spark, tmp_path):
+    for member, w in ((0, 2.0), (1, -1.0)):
+        classifier.save(spark.createDataFrame([(member, "a", w)], "member int, feature string, weight double"), str(tmp_path), "logistic")
+    rows = spark.createDataFrame([(1, {"a": 1.0}), (2, {"b": 1.0})], "id int, features map<string,double>")
+    want = (1 / (1 + np.exp(-2.0)) + 1 / (1 + np.exp(1.0))) / 2
+    got = {r["id"]: (r["prediction"], r["score"]) for r in classifier.Classifier(spark, str(tmp_path), "logistic").predict(rows).collect()}
+    assert got == {1: (1, pytest.approx(want, abs=1e-6)), 2: (1, 0.5)}
+    classifier.save(spark.createDataFrame([(1, "a", 5.0)], "member int, feature string, weight double"), str(tmp_path), "logistic")
+    with pytest.raises(ValueError, match="two weights"):
+        classifier.Classifier(spark, str(tmp_path), "logistic")
+    with pytest.raises(ValueError, match="unknown kind"):
+        classifier.Classifier(spark, str(tmp_path), "forest")
+    spark.range(1).write.parquet(f"{tmp_path}/bayes")
+    with pytest.raises(ValueError):
+        classifier.Classifier(spark, str(tmp_path), "bayes")
+
+
+def test_members_match_a_plain_loop(spark):
+    """Each member's weights are those of one pass over its rows in their order."""
+    r = random.Random(4)
+    table = [(i, r.randrange(2), {f"f{r.randrange(9)}": r.uniform(-1, 1) for _ in range(4)}) for i in range(80)]
+    rows = spark.createDataFrame(table, "id long, label int, features map<string,double>")
+    turns = rows.select("id", F.pmod(F.xxhash64("id", F.lit(0)), F.lit(3)).alias("m"), F.xxhash64("id", F.lit(1)).alias("t")).collect()
+    at, by = {x["id"]: (x["m"], x["t"]) for x in turns}, {i: (y, f) for i, y, f in table}
+    want = {}
+    for m in range(3):
+        order = sorted((i for i in at if at[i][0] == m), key=lambda i: at[i][1])
+        want |= {(m, k): w for k, w in logreg.fit([by[i] for i in order]).items()}
+    got = {(x["member"], x["feature"]): x["weight"] for x in logreg.train(rows, 3).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_random_start_and_slices(spark):
+    n = freq(spark, counts(3))
+    a, b = (plsi.randomly(n, 3, seed=s)[0].orderBy("index").collect() for s in (1, 2))
+    assert a != b and all(sum(r[f"t{z}"] for r in a) == pytest.approx(1) for z in range(3))
+    d = plsi.randomly(n, 3, symmetric=False)[1].collect()
+    assert all(sum(r[f"t{z}"] for z in range(3)) == pytest.approx(1) for r in d)
+    parts = n.withColumn("part", F.pmod("index", F.lit(4)))
+    assert plsi.require_slices(parts, 4) is parts
+    with pytest.raises(ValueError):
+        plsi.require_slices(parts, 3)
+
+
+def test_points_of_several_lengths(spark):
+    points = spark.createDataFrame([(1, [1.0, None, 2.0]), (2, [0.1]), (3, None), (4, [])], "id int, point array<double>")
+    centroids = spark.createDataFrame([(0, [0.0]), (1, [1.0, 0.0, 2.0])], "k int, centroid array<double>")
+    assert {r["id"]: r["k"] for r in kmeans.assign(points, centroids).collect()} == {1: 1, 2: 0, 3: 0, 4: 0}

@@ -104,3 +104,14 @@ def test_stream_is_scored_once(spark, tmp_path):
     got = run()
     assert got.count() == got.select("id").distinct().count() == 80
     assert got.filter("s <> id * 2").isEmpty()
+
+
+def test_parts_one_after_another(spark, tmp_path):
+    files.write_grouped(spark.range(10).withColumn("part", (F.col("id") % 3).cast("int")), f"{tmp_path}/in")
+    for k in range(3):
+        side = files.PartIteration(spark, f"{tmp_path}/in", f"{tmp_path}/out")  # as if started anew
+        assert not side.done()
+        side.save(side.part().agg(F.count("*").alias("n")))
+    assert side.done() and sorted(map(tuple, side.results().select("part", "n").collect())) == [(0, 4), (1, 3), (2, 3)]
+    with pytest.raises(StopIteration):
+        side.part()

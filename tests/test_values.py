@@ -84,3 +84,19 @@ def test_tfidf_by_hand(spark):
     assert got == {(1, 0): pytest.approx(2 * 2.6094379124341)}
     assert len(text.tfidf(freq, total, max_percent=0).collect()) == 10
     assert {r["index"] for r in text.tfidf(freq, total, min_df=2, max_percent=0).collect()} == {1}
+
+
+def test_analyzers(spark):
+    docs = spark.createDataFrame([(1, "The Fox-2  and a café"), (2, None), (None, "x")], "doc_id int, text string")
+    got = {name: [r["tokens"] for r in text.tokenize(docs, analyzer=name).collect()] for name in text.ANALYZERS}
+    assert got == {"standard": [["fox", "2", "café"]], "simple": [["the", "fox", "and", "a", "café"]], "whitespace": [["The", "Fox-2", "and", "a", "café"]], "keyword": [["The Fox-2  and a café"]]}
+    assert text.tokenize(docs, analyzer=lambda c: F.split(c, "o")).first()["tokens"] == ["The F", "x-2  and a café"]
+    with pytest.raises(ValueError, match="unknown analyzer"):
+        text.tokenize(docs, analyzer="none")
+
+
+def test_numbers_of_values_with_a_common_start(spark):
+    names = [f"https://example.org/{k:05}" for k in range(3000)]
+    rows = relational.numbered(spark.createDataFrame([(n,) for n in names], "name string").repartition(7), "name", kind="long")
+    assert sorted(map(tuple, rows.collect())) == [(n, k) for k, n in enumerate(names)]
+    assert rows.schema["index"].dataType.simpleString() == "bigint"

@@ -1,10 +1,11 @@
 import numpy as np
 import pytest
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from lexmill.functions import vectors as V
 from lexmill.operators import aggregates, matrix
-from lexmill.schema import VECTOR, clean, from_long, require_vector, resized, to_dense, to_long, to_sparse, type_named
+from lexmill.schema import VECTOR, clean, converted, from_long, kind_of, require_vector, resized, to_dense, to_long, to_sparse, to_vector, type_named
 
 KEYED = "id string, vector struct<cardinality:int,features:array<struct<index:int,value:double>>>"
 
@@ -69,8 +70,33 @@ def test_norms(spark):
 
 
 def test_dot(spark):
-    df = spark.createDataFrame([(vec(4, {0: 1.0, 3: 2.0}), vec(4, {3: 4.0})), (vec(4, {0: 1.0}), vec(5, {0: 1.0}))], f"a {VECTOR.simpleString()}, b {VECTOR.simpleString()}")
-    assert [r[0] for r in df.select(V.dot(F.col("a"), F.col("b"))).collect()] == [8.0, None]
+    def dots(*rows):
+        df = spark.createDataFrame(rows, f"a {VECTOR.simpleString()}, b {VECTOR.simpleString()}")
+        return [r[0] for r in df.select(V.dot(F.col("a"), F.col("b"))).collect()]
+
+    assert dots((vec(4, {0: 1.0, 3: 2.0}), vec(4, {3: 4.0})), (vec(4, {0: 1.0}), None), (vec(4, {}), vec(4, {1: 2.0}))) == [8.0, None, 0.0]
+    with pytest.raises(SparkRuntimeException, match="different cardinality"):
+        dots((vec(4, {0: 1.0}), vec(5, {0: 1.0})))
+
+
+def test_regular_and_dumped(spark):
+    assert apply(spark, V.dumped, (4, {1: 2.0, 3: -1.5}), (2, {}), None) == ["4:{1:2.0,3:-1.5}", "2:{}", None]
+    assert [entries(x) for x in apply(spark, lambda v: V.regular(v, 1, 2), (5, {1: 2.0, 3: 1.0}), None)] == [{1: 2.0, 3: 1.0}, None]
+    with pytest.raises(SparkRuntimeException, match="modulo 2"):
+        apply(spark, lambda v: V.regular(v, 1, 2), (5, {2: 1.0}))
+
+
+def test_conversions(spark):
+    df = spark.createDataFrame([(1, vec(4, {1: 2.0, 3: 0.1})), (2, None), (3, vec(3, {}))], f"id int, vector {VECTOR.simpleString()}")
+    dense = df.withColumn("vector", converted(F.col("vector"), dense=True, float_precision=True))
+    assert [r[1] for r in dense.collect()] == [pytest.approx([0, 2.0, 0, 0.1]), None, [0.0, 0.0, 0.0]]
+    assert [kind_of(x, "vector") for x in (df, dense, df.withColumn("vector", converted(F.col("vector"), sequential=True)))] == ["cardinality_sparse", "dense", "sparse"]
+    assert [None if r[1] is None else entries(r[1]) for r in to_vector(dense, "vector", 2).collect()] == [{1: 2.0}, None, {}]
+    sparse = df.withColumn("vector", F.reverse("vector.features"))
+    assert [None if r[1] is None else (r[1][0], entries(r[1])) for r in to_vector(sparse, "vector", 9).collect()] == [(9, {1: 2.0, 3: 0.1}), None, (9, {})]
+    for wrong in (lambda: converted(F.col("vector"), dense=True, sparse=True), lambda: converted(F.col("vector"), dense=True, sequential=True), lambda: to_vector(sparse, "vector"), lambda: kind_of(df, "id")):
+        with pytest.raises(ValueError):
+            wrong()
 
 
 def test_extremes(spark):
