@@ -17,6 +17,8 @@ from .winnowing import anchors
 K, W = 25, 26
 #: Words in the shortest repeat.
 LEAST = K + W - 1
+#: Anchors that documents share up to which the list of them is sent to all executors, instead of every text through a shuffle.
+BROADCAST_HASHES = 2_000_000
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +104,9 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     # Least and greatest ids are combined before the shuffle, however frequent an anchor or window is.
     every = written(base.mapInArrow(_anchor_rows, "h long, id long"), "anchors")
     shared = every.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("h")
-    lists = every.join(shared, "h").groupBy("id").agg(F.collect_set("h").alias("hs"))
+    lists = written(every.join(shared, "h").groupBy("id").agg(F.collect_set("h").alias("hs")), "lists")
+    if (lists.agg(F.sum(F.size("hs"))).first()[0] or 0) <= BROADCAST_HASHES:
+        lists = F.broadcast(lists)
     near = base.join(lists, "id").select("id", "text", "hs").mapInArrow(_window_rows, "h long, id long, start int, windows array<long>")
     each = written(near.select("h", "id", "start", F.posexplode("windows").alias("o", "window")), "windows")
     twice = each.groupBy("window").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("window", "lo")
