@@ -145,14 +145,18 @@ def guess_cost(value: str, known: dict[str, float] | None = None) -> tuple[float
     """log10 of the guesses that the cheapest segmentation takes, and its kinds in order.
 
     The cost of a segmentation is the sum of its segments' costs and JOIN for each
-    after the first. Among equals the one whose last segment is longest. Segments
-    are of any length. known: costs of the units of repeats, filled on the way.
+    after the first. No two brute segments are next to each other: characters that
+    nothing explains are one segment over all their kinds. Among equals the one
+    whose last segment is longest. Segments are of any length. known: costs of the
+    units of repeats, filled on the way.
     """
     known = {} if known is None else known
     n = len(value)
     logs = np.log10(np.arange(1, n + 2))  # logs[k]: of k + 1
     # start[i]: cost of what is before a segment that begins at i.
     start, back = np.zeros(n + 1), [(0, "")] * (n + 1)
+    # The same where the segment before it isn't brute.
+    plain, back_plain = np.append(0.0, np.full(n, np.inf)), [(0, "")] * (n + 1)
     # Brute: for each set of kinds the begin that is cheapest up to here, all characters since being in the set.
     sort = [char_kinds(c) for c in value]
     sets = {0}
@@ -178,11 +182,12 @@ def guess_cost(value: str, known: dict[str, float] | None = None) -> tuple[float
             if not sort[j - 1] & s:
                 brute[s] = None
                 continue
-            key = float(start[j - 1]) - (j - 1) * r
-            if brute[s] is None or key < brute[s][0] - 1e-12:
+            key = float(plain[j - 1]) - (j - 1) * r
+            if key < np.inf and (brute[s] is None or key < brute[s][0] - 1e-12):
                 brute[s] = (key, j - 1)
-            i = brute[s][1]
-            found.append((i, float(start[i]) + (j - i) * r, "brute"))
+            if brute[s]:
+                i = brute[s][1]
+                found.append((i, float(plain[i]) + (j - i) * r, "brute"))
         for i in range(max(0, j - LONGEST), j):
             part = value[i:j]
             for kind, cost in (("word", word_cost(part)), ("date", date_cost(part))):
@@ -205,16 +210,19 @@ def guess_cost(value: str, known: dict[str, float] | None = None) -> tuple[float
             found.append((int(i[at]), cost, "repeat"))
         # Stable: of kinds that cost the same for one span the first above stays.
         found.sort(key=lambda x: x[0])
-        least = None
+        least = other = None
         for i, cost, kind in found:
             if least is None or cost < least[1] - 1e-12:
                 least = (i, cost, kind)
-        start[j] = least[1] + JOIN
-        back[j] = (least[0], least[2])
-    kinds, j = [], n
+            if kind != "brute" and (other is None or cost < other[1] - 1e-12):
+                other = (i, cost, kind)
+        start[j], back[j] = (least[1] + JOIN, (least[0], least[2])) if least else (np.inf, (0, ""))
+        if other:
+            plain[j], back_plain[j] = other[1] + JOIN, (other[0], other[2])
+    kinds, j, before = [], n, ""
     while j:
-        j, kind = back[j]
-        kinds.append(kind)
+        j, before = (back_plain if before == "brute" else back)[j]
+        kinds.append(before)
     return float(start[n] - JOIN) if n else 0.0, " ".join(reversed(kinds))
 
 

@@ -9,9 +9,17 @@ from lexmill.llm import guessing
 from .helpers import docs, rows
 
 
+def explained(part):
+    """Least cost of a part as one segment that isn't brute."""
+    costs = [f(part) for f in (guessing.word_cost, guessing.date_cost, guessing.walk_cost)]
+    if unit := guessing.repeat_unit(part):
+        costs.append(brute(unit) + log10(len(part) // len(unit)))
+    return min((c for c in costs if c is not None), default=float("inf"))
+
+
 def brute(value):
-    """Every way to cut the value into segments."""
-    best = None
+    """Every way to cut the value into segments of which no two brute ones are next to each other."""
+    best = float("inf")
     for cuts in product((0, 1), repeat=len(value) - 1):
         parts, last = [], 0
         for i, c in enumerate(cuts, 1):
@@ -19,8 +27,10 @@ def brute(value):
                 parts.append(value[last:i])
                 last = i
         parts.append(value[last:])
-        cost = sum(guessing.segment_cost(p)[0] for p in parts) + guessing.JOIN * (len(parts) - 1)
-        best = cost if best is None else min(best, cost)
+        raw, known = float("inf"), 0.0  # the last segment is brute, or isn't
+        for part in parts:
+            raw, known = known + guessing.brute_cost(part), min(raw, known) + explained(part)
+        best = min(best, min(raw, known) + guessing.JOIN * (len(parts) - 1))
     return best
 
 
@@ -84,10 +94,19 @@ def test_blanks_without_an_assignment_are_passed_once():
 
 
 def all_spans(value):
-    """Every span as a segment, however long."""
-    best = [0.0]
+    """Every span as a segment, however long; a brute one only after one that isn't."""
+    best, plain = [0.0], [0.0]
     for j in range(1, len(value) + 1):
-        best.append(min(best[i] + guessing.segment_cost(value[i:j])[0] + (guessing.JOIN if i else 0.0) for i in range(j)))
+        join = [guessing.JOIN if i else 0.0 for i in range(j)]
+        known = []
+        for i in range(j):
+            part = value[i:j]
+            costs = [f(part) for f in (guessing.word_cost, guessing.date_cost, guessing.walk_cost)]
+            if unit := guessing.repeat_unit(part):
+                costs.append(guessing.guess_cost(unit)[0] + log10(len(part) // len(unit)))
+            known.append(best[i] + join[i] + min((c for c in costs if c is not None), default=float("inf")))
+        plain.append(min(known))
+        best.append(min(plain[-1], min(plain[i] + join[i] + guessing.brute_cost(value[i:j]) for i in range(j))))
     return best[-1]
 
 
