@@ -60,9 +60,10 @@ def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text", stop_word
     return docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("name"), tokens.alias("tokens"))
 
 
-def counts(tokens: DataFrame) -> DataFrame:
-    """(name, term, n): occurrences of each term in each document."""
-    return tokens.select("name", F.explode("tokens").alias("term")).groupBy("name", "term").agg(F.count("*").alias("n"))
+def counts(tokens: DataFrame, stop_words: Iterable[str] = ()) -> DataFrame:
+    """(name, term, n): occurrences of each term but the stop words in each document."""
+    terms, stop = tokens.select("name", F.explode("tokens").alias("term")), list(stop_words)
+    return (terms.filter(~F.col("term").isin(stop)) if stop else terms).groupBy("name", "term").agg(F.count("*").alias("n"))
 
 
 def term_totals(count: DataFrame, least: int = 2) -> DataFrame:

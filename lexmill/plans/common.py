@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import text
+from ..operators.relational import numbered
 from ..schema import from_long
 from ..workspace import kept, spread
 
@@ -22,14 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Corpus:
-    """Tokens, counts, dictionary and term frequencies of the documents; texts are tokenised once, when the counts are written."""
+    """Tokens, counts, dictionary and term frequencies of the documents; texts are tokenised once, when the counts are written.
+
+    Stop words have no counts. They leave as rows, after the tokens are exploded: a
+    filter on rows is compiled, one on arrays isn't.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.docs = table(spark, sf_dir, "documents").select("doc_id", "text")
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return text.tokenize(spread(self.docs), analyzer=text.standard)
+        return text.tokenize(spread(self.docs))
 
     @cached_property
     def names(self) -> DataFrame:
@@ -38,11 +43,12 @@ class Corpus:
 
     @cached_property
     def count(self) -> DataFrame:
-        return kept(text.counts(self.tokens), "counts")
+        return kept(text.counts(self.tokens, text.ENGLISH_STOP_WORDS), "counts")
 
     @cached_property
     def terms(self) -> DataFrame:
-        return kept(text.dictionary(self.count, MIN_SUPPORT), "terms")
+        totals = kept(text.term_totals(self.count, MIN_SUPPORT).select("term"), "totals")  # ranges are sampled before they are dealt
+        return kept(numbered(totals, "term"), "terms")
 
     @cached_property
     def freq(self) -> DataFrame:
