@@ -47,8 +47,9 @@ def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, default: float
     that name; else the columns are those of docs. An empty table stays empty.
     """
     table = rates(docs, weights, default, budget, source_col=source_col, text_col=text_col).select(F.col("mix_source").alias("__mix_source"), F.col("rate").alias("__mix_rate"))
-    rows = table.limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) <= BROADCAST_ROWS:
+    # As Arrow: a table of Python rows would start Python workers of another kind on all executors.
+    rows = table.limit(BROADCAST_ROWS + 1).toArrow()
+    if rows.num_rows <= BROADCAST_ROWS:
         table = F.broadcast(docs.sparkSession.createDataFrame(rows, table.schema))
     key = F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit(""))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 8), 16, 10).cast("double") / 4294967296.0

@@ -367,6 +367,7 @@ def duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     tried = bucket.filter("id <> hub").select("hub", "id").distinct()
     found = cut(_aligned(_possible(tried, tokens, similarity), tokens, similarity))
     part = cut(components(found))
-    more = _aligned(cut(_mixed(bucket, part, tokens, similarity)), tokens, similarity)
+    # Kept first: in one task with the contraction, which is Python as well, it would take two Python workers a core, and they stay.
+    more = cut(_aligned(cut(_mixed(bucket, part, tokens, similarity)), tokens, similarity))
     links = found.unionByName(more).unionByName(equal)
     return components(links).select(F.col("id").alias("doc_id"), F.col("root").alias("kept_doc_id"))
