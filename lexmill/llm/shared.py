@@ -3,32 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from ..workspace import kept, shared_dir
-
-
-#: Rows in an Arrow batch, at most: a row is a whole document here, and executors hold a batch and what they make of it.
-BATCH_ROWS = 1000
-
-
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Jobs within send Python no more than BATCH_ROWS rows at once; after that the session's setting is as before."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    if not 0 < int(before) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+from ..workspace import BATCH_ROWS, kept, shared_dir, small_batches
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..schema import require_schema
 from ..sources.files import RollingStore
+from . import blocks
+from .blocks import Blocks
 from .relational import reservoir
 
 
@@ -26,29 +28,30 @@ class Params:
     weight: float = 1.0
 
 
-def initial(freq: DataFrame, p: Params) -> DataFrame:
+def initial(freq: DataFrame | Blocks, p: Params) -> DataFrame:
     """(index, counts): start counts by formula for every word of (id, index, value)."""
-    words = freq.select("index").distinct()
-    return words.select("index", F.array(*(F.lit(1.0) + F.pmod(F.col("index") * 31 + z * 17, F.lit(101)) / F.lit(101.0) for z in range(p.topics))).alias("counts"))
+    return _indices(freq).select("index", F.array(*(F.lit(1.0) + F.pmod(F.col("index") * 31 + z * 17, F.lit(101)) / F.lit(101.0) for z in range(p.topics))).alias("counts"))
 
 
-def randomly(freq: DataFrame, p: Params, seed: int = 0) -> DataFrame:
+def randomly(freq: DataFrame | Blocks, p: Params, seed: int = 0) -> DataFrame:
     """(index, counts): start counts uniform in [0, 1) by a seeded hash."""
     draw: list[Column] = [F.pmod(F.xxhash64("index", F.lit(z), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) for z in range(p.topics)]
-    return freq.select("index").distinct().select("index", F.array(*draw).alias("counts"))
+    return _indices(freq).select("index", F.array(*draw).alias("counts"))
 
 
-def _inputs(freq: DataFrame, model: DataFrame, p: Params) -> tuple[DataFrame, np.ndarray, int]:
-    """(id, e) with the entries of each document and their words' counts; counts by topic; number of words.
+def _indices(freq: DataFrame | Blocks) -> DataFrame:
+    return freq.indices() if isinstance(freq, Blocks) else freq.select("index").distinct()
 
-    Only a document's own words travel with it, so that the model may be of any size.
+
+def _inputs(freq: DataFrame | Blocks, model: DataFrame, p: Params) -> tuple[Blocks, DataFrame, np.ndarray, int]:
+    """Blocks, their words with the words' counts, counts by topic and number of words.
+
+    Only a block's own words travel to it, once each, so that the model may be of any size.
     """
     size, *sums = model.agg(F.count("*"), *(F.coalesce(F.sum(F.get("counts", z)), F.lit(0.0)) for z in range(p.topics))).first()
-    zero = F.array(*(F.lit(0.0) for _ in range(p.topics)))
-    joined = freq.join(model, "index", "left").select("id", F.struct("index", "value", F.coalesce("counts", zero).alias("counts")).alias("e"))
-    docs = joined.groupBy("id").agg(F.sort_array(F.collect_list("e")).alias("e"))
-    flat = docs.select("id", F.col("e.index").alias("index"), F.col("e.value").alias("value"), F.flatten("e.counts").alias("counts"))
-    return flat, np.array(sums, dtype=float), int(size)
+    found, zero = blocks.of(freq), F.array(*(F.lit(0.0) for _ in range(p.topics)))
+    words = found.side(blocks.WORDS, found.words.join(model, "index", "left"), F.coalesce("counts", zero))
+    return found, words, np.array(sums, dtype=float), int(size)
 
 
 def infer(begin: np.ndarray, value: np.ndarray, counts: np.ndarray, sums: np.ndarray, words: int, p: Params) -> tuple[np.ndarray, np.ndarray]:
@@ -56,75 +59,69 @@ def infer(begin: np.ndarray, value: np.ndarray, counts: np.ndarray, sums: np.nda
 
     begin: first entry of each document, none of them empty. Shares start even.
     """
-    counts, sums = counts * p.weight, sums * p.weight
-    like = (counts + p.eta) / (sums + p.eta * words)
-    row = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(value))))
-    theta = np.full((len(begin), p.topics), 1.0 / p.topics)
+    # A row a topic, so that sums over topics and over the entries of a document are of whole rows.
+    like = np.ascontiguousarray(counts.T) * p.weight
+    like += p.eta
+    like /= (sums * p.weight + p.eta * words)[:, None]
+    sizes = np.diff(np.append(begin, len(value)))
+    theta = np.full((p.topics, len(begin)), 1.0 / p.topics)
     q = np.zeros_like(like)
     for _ in range(p.doc_iterations):
-        q = like * (theta[row] + p.alpha)
-        q *= (value / q.sum(axis=1))[:, None]
-        theta = np.add.reduceat(q, begin)
-        theta /= theta.sum(axis=1, keepdims=True)
-    return theta, q
+        np.multiply(like, np.repeat(theta + p.alpha, sizes, axis=1), out=q)
+        q *= value / q.sum(axis=0)
+        theta = np.add.reduceat(q, begin, axis=1)
+        theta /= theta.sum(axis=0)
+    return theta.T, q.T
 
 
-def _solved(batch: pa.RecordBatch, sums: np.ndarray, words: int, p: Params):
-    index, value, counts = (batch.column(k) for k in (1, 2, 3))
-    begin = index.offsets.to_numpy()[:-1] - index.offsets[0].as_py()
-    v = value.flatten().to_numpy(zero_copy_only=False).astype(float)
-    c = counts.flatten().to_numpy(zero_copy_only=False).reshape(-1, p.topics)
-    return begin, index.flatten().to_numpy(zero_copy_only=False), v, c, *infer(begin, v, c, sums, words, p)
+def _solved(batches: Iterator[pa.RecordBatch], sums: np.ndarray, words: int, p: Params) -> Iterator[tuple[blocks.Words, Iterator[tuple]]]:
+    """Each block's words, and its documents with entries, their topic shares and the entries' parts."""
+    for w, _, chunks in blocks.met(batches):
+        yield w, ((c, *infer(c.begin(), c.value, w.p[c.at], sums, words, p)) for c in filter(None, map(blocks.nonempty, chunks)))
 
 
-def train(freq: DataFrame, model: DataFrame, p: Params) -> DataFrame:
+def train(freq: DataFrame | Blocks, model: DataFrame, p: Params) -> DataFrame:
     """(index, counts): the model after one pass, sums of the documents' expected counts."""
-    flat, sums, words = _inputs(freq, model, p)
+    found, side, sums, words = _inputs(freq, model, p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            _, index, _, _, _, q = _solved(batch, sums, words, p)
-            order = np.argsort(index, kind="stable")
-            found, at = np.unique(index[order], return_index=True)
-            part = np.add.reduceat(q[order], at)
-            yield pa.record_batch([pa.array(found, pa.int32()), *(pa.array(part[:, z]) for z in range(p.topics))], names=["index", *(f"t{z}" for z in range(p.topics))])
+        for w, docs in _solved(batches, sums, words, p):
+            part = np.zeros_like(w.p)
+            for c, _, q in docs:
+                blocks.summed(part, c.at, q)
+            for i in range(0, len(part), blocks.ROWS):
+                yield pa.record_batch([pa.array(w.index[i : i + blocks.ROWS], pa.int32()), *(pa.array(part[i : i + blocks.ROWS, z]) for z in range(p.topics))], names=["index", *(f"t{z}" for z in range(p.topics))])
 
     schema = "index int, " + ", ".join(f"t{z} double" for z in range(p.topics))
-    parts = flat.mapInArrow(run, schema).groupBy("index").agg(*(F.sum(f"t{z}").alias(f"t{z}") for z in range(p.topics)))
+    parts = found.meet(run, schema, side).groupBy("index").agg(*(F.sum(f"t{z}").alias(f"t{z}") for z in range(p.topics)))
     return parts.select("index", F.array(*(f"t{z}" for z in range(p.topics))).alias("counts"))
 
 
-def inference(freq: DataFrame, model: DataFrame, p: Params) -> DataFrame:
+def inference(freq: DataFrame | Blocks, model: DataFrame, p: Params) -> DataFrame:
     """(id, shares array<double>): P(topic | document)."""
-    flat, sums, words = _inputs(freq, model, p)
+    found, side, sums, words = _inputs(freq, model, p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                theta = _solved(batch, sums, words, p)[4]
-                yield pa.record_batch([batch.column(0), pa.array(list(theta), pa.list_(pa.float64()))], names=["id", "shares"])
+        for _, docs in _solved(batches, sums, words, p):
+            for c, theta, _ in docs:
+                yield blocks.listed(c.ids, shares=pa.array(list(theta), pa.list_(pa.float64())))
 
-    return flat.mapInArrow(run, f"id {flat.schema['id'].dataType.simpleString()}, shares array<double>")
+    return found.meet(run, f"id {found.id_type}, shares array<double>", side)
 
 
-def perplexity(freq: DataFrame, model: DataFrame, p: Params) -> DataFrame:
+def perplexity(freq: DataFrame | Blocks, model: DataFrame, p: Params) -> DataFrame:
     """(id, words, loss): sum of the counts, and negative log-likelihood, of each document."""
-    flat, sums, words = _inputs(freq, model, p)
+    found, side, sums, words = _inputs(freq, model, p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            begin, _, v, c, theta, _ = _solved(batch, sums, words, p)
-            row = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(v))))
-            share = (theta + p.alpha) / (1 + p.topics * p.alpha)
-            like = (c * p.weight + p.eta) / (sums * p.weight + p.eta * words)
-            loss = -v * np.log((share[row] * like).sum(axis=1))
-            yield pa.record_batch([batch.column(0), pa.array(np.add.reduceat(v, begin)), pa.array(np.add.reduceat(loss, begin))], names=["id", "words", "loss"])
-
-    return flat.mapInArrow(run, f"id {flat.schema['id'].dataType.simpleString()}, words double, loss double")
+        for w, docs in _solved(batches, sums, words, p):
+            for c, theta, _ in docs:
+                share = (theta + p.alpha) / (1 + p.topics * p.alpha)
+                like = (w.p[c.at] * p.weight + p.eta) / (sums * p.weight + p.eta * words)
+                loss = -c.value * np.log((share[c.row()] * like).sum(axis=1))
+                yield blocks.listed(c.ids, words=np.add.reduceat(c.value, c.begin()), loss=np.add.reduceat(loss, c.begin()))
+
+    return found.meet(run, f"id {found.id_type}, words double, loss double", side)
 
 
 def loss_per_word(scored: DataFrame) -> DataFrame:

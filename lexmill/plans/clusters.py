@@ -78,29 +78,29 @@ def plsi_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lda_train_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _counts(spark, sf_dir)
+    n = Corpus(spark, sf_dir).blocks
     rows = lda.train(n, lda.initial(n, LDA), LDA).select("index", F.posexplode("counts").alias("topic", "value"))
     return rows.withColumn("value", F.round("value", 4))
 
 
 def lda_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _counts(spark, sf_dir)
+    n = Corpus(spark, sf_dir).blocks
     return lda.perplexity(n, lda.initial(n, LDA), LDA).select("id", "words", F.round("loss", 4).alias("loss"))
 
 
 def lda_loss_per_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _counts(spark, sf_dir)
+    n = Corpus(spark, sf_dir).blocks
     return lda.loss_per_word(lda.perplexity(n, lda.initial(n, LDA), LDA)).select(F.round("loss_per_word", 6).alias("loss_per_word"))
 
 
 def lda_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _counts(spark, sf_dir)
+    n = Corpus(spark, sf_dir).blocks
     return lda.inference(n, lda.initial(n, LDA), LDA).select("id", F.posexplode("shares").alias("topic", "value")).withColumn("value", F.round("value", 5))
 
 
 def _main_topics(spark: SparkSession, sf_dir: str) -> tuple[Corpus, DataFrame]:
     c = Corpus(spark, sf_dir)
-    return c, kept(lda.main_topics(lda.inference(c.freq, lda.initial(c.freq, LDA), LDA)), "topics")
+    return c, kept(lda.main_topics(lda.inference(c.blocks, lda.initial(c.blocks, LDA), LDA)), "topics")
 
 
 def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,14 +116,14 @@ def topic_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """After one pass from the start by formula."""
     c = Corpus(spark, sf_dir)
-    return lda.keywords(lda.finished(kept(lda.train(c.freq, lda.initial(c.freq, LDA), LDA), "lda"), LDA), c.terms, digits=7)
+    return lda.keywords(lda.finished(kept(lda.train(c.blocks, lda.initial(c.blocks, LDA), LDA), "lda"), LDA), c.terms, digits=7)
 
 
 def lda_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three passes from random counts, each a committed iteration of which the last is loaded by its number: sums of the counts."""
     c = Corpus(spark, sf_dir)
     store = files.RollingStore(spark, new_path(spark, "lda"))
-    store.run(lambda: lda.randomly(c.freq, LDA), lambda model: lda.train(c.freq, model, LDA), 3)
+    store.run(lambda: lda.randomly(c.blocks, LDA), lambda model: lda.train(c.blocks, model, LDA), 3)
     return lda.load_model(store, 3).agg(F.round(F.sum(F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)), 2).alias("total"), F.count("*").alias("n_terms"))
 
 

@@ -7,10 +7,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import text
+from ..operators import blocks, text
+from ..operators.blocks import Blocks
 from ..operators.relational import numbered
 from ..schema import from_long
-from ..workspace import kept, spread
+from ..workspace import kept, small
 
 #: Least occurrences of a dictionary's terms.
 MIN_SUPPORT = 2
@@ -23,36 +24,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Corpus:
-    """Tokens, counts, dictionary and term frequencies of the documents; texts are tokenised once, when the counts are written.
+    """The documents' words in blocks, with the dictionary; texts are tokenised and counted once, when the blocks are written.
 
-    Stop words have no counts. They leave as rows, after the tokens are exploded: a
-    filter on rows is compiled, one on arrays isn't.
+    Rows of one id are one document. Stop words and rare words have no number.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+        self.docs = table(spark, sf_dir, "documents").select("doc_id", "text").filter("doc_id is not null and text is not null")
 
     @cached_property
-    def tokens(self) -> DataFrame:
-        return text.tokenize(spread(self.docs))
+    def repeated(self) -> DataFrame:
+        """(id, n) of the documents that are several rows."""
+        return kept(self.docs.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
 
     @cached_property
-    def names(self) -> DataFrame:
-        """(id) of the documents with a text."""
-        return self.docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"))
+    def packed(self) -> tuple[DataFrame, DataFrame]:
+        docs = self.docs
+        if not self.repeated.isEmpty():
+            several = docs.join(self.repeated, F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.concat_ws("\n", F.collect_list("text")).alias("text"))
+            docs = docs.join(self.repeated, F.col("doc_id") == F.col("id"), "left_anti").unionByName(several)
+        return blocks.pack(text.tokenize(docs).toDF("id", "items"), text.ENGLISH_STOP_WORDS)
 
     @cached_property
-    def count(self) -> DataFrame:
-        return kept(text.counts(self.tokens, text.ENGLISH_STOP_WORDS), "counts")
+    def totals(self) -> DataFrame:
+        """(term, n, df): occurrences in all documents, and documents, of the dictionary's terms."""
+        sums = self.packed[1].groupBy(F.col("item").alias("term")).agg(F.sum("n").cast("bigint").alias("n"), F.sum("df").alias("df"))
+        return kept(sums.filter(F.col("n") >= MIN_SUPPORT), "totals")  # ranges are sampled before they are dealt
+
+    @cached_property
+    def weighed(self) -> DataFrame:
+        """(term, df, index)."""
+        return kept(numbered(self.totals.select("term", "df"), "term"), "terms")
 
     @cached_property
     def terms(self) -> DataFrame:
-        totals = kept(text.term_totals(self.count, MIN_SUPPORT).select("term"), "totals")  # ranges are sampled before they are dealt
-        return kept(numbered(totals, "term"), "terms")
+        return self.weighed.select("term", "index")
+
+    @cached_property
+    def blocks(self) -> Blocks:
+        chunks, words = self.packed
+        return Blocks(chunks, kept(words.select("block", "at", F.col("item").alias("term")).join(self.terms, "term").select("block", "at", "index"), "words"))
 
     @cached_property
     def freq(self) -> DataFrame:
-        return kept(text.tf(self.count, self.terms), "tf")
+        return self.blocks.entries()
+
+    def of_rows(self, vectors: DataFrame) -> DataFrame:
+        """A vector for each row of the documents, not only for each id."""
+        if self.repeated.isEmpty():
+            return vectors
+        each = vectors.join(small(self.repeated), "id", "left")
+        return each.select("id", "vector", F.explode(F.array_repeat(F.lit(0), F.coalesce("n", F.lit(1)).cast("int")))).select("id", "vector")
 
 
 def customer_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

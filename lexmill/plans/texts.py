@@ -35,7 +35,7 @@ def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector for every document, those without a weighed term too."""
     c = Corpus(spark, sf_dir)
-    got = _described(text.vectors_of(text.tfidf(c.freq, corpus_total(spark, sf_dir)), c.names, c.terms.count()))
+    got = _described(text.vectors_of(text.tfidf(c.freq, corpus_total(spark, sf_dir)), c.docs.select(F.col("doc_id").alias("id")), c.terms.count()))
     return got.withColumn("total", F.round("total", 4))
 
 
@@ -63,7 +63,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_min_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.term_totals(Corpus(spark, sf_dir).count, MIN_SUPPORT)
+    return Corpus(spark, sf_dir).totals.select("term", "n")
 
 
 def dict_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def tf_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Corpus(spark, sf_dir)
-    return _described(text.vectors_of(c.freq, c.names, c.terms.count()))
+    return _described(text.vectors_of(c.freq, c.docs.select(F.col("doc_id").alias("id")), c.terms.count()))
 
 
 def _described(vectors: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def row_ids_docindex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def row_ids_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Corpus(spark, sf_dir)
-    named = text.vectors_of(c.freq, c.names, c.terms.count()).withColumn("name", F.col("id").cast("string")).select("name", "vector")
+    named = text.vectors_of(c.freq, c.docs.select(F.col("doc_id").alias("id")), c.terms.count()).withColumn("name", F.col("id").cast("string")).select("name", "vector")
     return to_long(named.join(_names(spark, sf_dir), "name").select("id", "vector"))
 
 
