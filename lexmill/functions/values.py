@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import bound
+
 
 def roll_bag(items: Column, size: int, step: int = 1) -> Column:
     """Full windows of size items that begin at 0, step, 2 * step and so on."""
@@ -42,10 +44,13 @@ def decode(value: Column, *pairs: object, default: object = None) -> Column:
 def feature_map(fields: Column, delimiter: str = ":") -> Column:
     """Map of an array of "key:number" strings; malformed ones are skipped, of equal keys the last counts."""
     pairs = F.transform(fields, lambda s, i: F.struct(F.element_at(F.split(s, delimiter, 2), 1).alias("k"), i.alias("i"), F.try_element_at(F.split(s, delimiter, 2), F.lit(2)).try_cast("double").alias("v")))
-    placed = F.array_sort(F.filter(pairs, lambda e: e["v"].isNotNull()))
-    # The last of a key is the one whose successor has another.
-    last = F.filter(placed, lambda e, i: F.coalesce(F.get(placed, i + 1)["k"] != e["k"], F.lit(True)))
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v"))))
+
+    def last(placed: Column) -> Column:
+        # The last of a key is the one whose successor has another.
+        found = F.filter(placed, lambda e, i: F.coalesce(F.get(placed, i + 1)["k"] != e["k"], F.lit(True)))
+        return F.map_from_entries(F.transform(found, lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v"))))
+
+    return bound(F.sort_array(F.filter(pairs, lambda e: e["v"].isNotNull())), last)
 
 
 def shuffle_key(key: Column, seed: int = 0) -> Column:

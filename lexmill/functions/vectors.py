@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import VECTOR, to_dense, vector
+from ..schema import VECTOR, bound, to_dense, vector
 
 
 def _values(v: Column) -> Column:
@@ -71,8 +71,8 @@ def minus(v: Column, number: Column) -> Column:
 def dot(a: Column, b: Column) -> Column:
     """Inner product of two vectors; those of different cardinality fail the job."""
     # Entries of both in order of their indices: equal ones are next to each other.
-    both = F.array_sort(F.concat(a["features"], b["features"]))
-    total = F.aggregate(F.transform(both, lambda e, i: F.when(F.get(both, i + 1)["index"] == e["index"], e["value"] * F.get(both, i + 1)["value"]).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+    products = lambda both: F.transform(both, lambda e, i: F.when(F.get(both, i + 1)["index"] == e["index"], e["value"] * F.get(both, i + 1)["value"]).otherwise(0.0))
+    total = F.aggregate(bound(F.array_sort(F.concat(a["features"], b["features"])), products), F.lit(0.0), lambda s, x: s + x)
     return F.when(a["cardinality"] == b["cardinality"], total).when(a.isNotNull() & b.isNotNull(), F.raise_error(F.lit("vectors of different cardinality")).cast("double"))
 
 

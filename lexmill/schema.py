@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, NumericType, StructField, StructType
@@ -34,11 +36,22 @@ def require_vector(df: DataFrame, name: str) -> DataFrame:
     return require_schema(df, **{name: VECTOR.simpleString()})
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is evaluated once, however often f and the functions in it name it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def clean(entries: Column) -> Column:
-    """Entries sorted by index without zeros and nulls; of several with one index the last counts."""
-    dedup = F.map_from_entries(F.transform(F.array_distinct(F.transform(entries, lambda e: e["index"])), lambda i: F.struct(i.alias("k"), F.element_at(F.filter(entries, lambda e: e["index"] == i), -1)["value"].alias("v"))))
-    pairs = F.transform(F.map_entries(dedup), lambda e: F.struct(e["key"].cast("int").alias("index"), e["value"].cast("double").alias("value")))
-    return F.array_sort(F.filter(pairs, lambda e: e["value"].isNotNull() & (e["value"] != 0)))
+    """Entries sorted by index without zeros and nulls; of several with one index the last counts. An entry without an index fails the job."""
+    index = lambda e: F.coalesce(e["index"].cast("int"), F.raise_error(F.lit("an entry without an index")).cast("int"))
+    placed = F.sort_array(F.transform(entries, lambda e, i: F.struct(index(e).alias("index"), i.alias("i"), e["value"].cast("double").alias("value"))))
+
+    def kept(placed: Column) -> Column:
+        # The last of an index is the one whose successor has another.
+        last = F.filter(placed, lambda e, i: F.coalesce(F.get(placed, i + 1)["index"] != e["index"], F.lit(True)) & e["value"].isNotNull() & (e["value"] != 0))
+        return F.transform(last, lambda e: F.struct(e["index"].alias("index"), e["value"].alias("value")))
+
+    return bound(placed, kept)
 
 
 def vector(cardinality: Column, entries: Column) -> Column:
@@ -61,22 +74,30 @@ def from_long(rows: DataFrame, cardinality: int | Column, key: str = "id") -> Da
 
 def to_dense(v: Column) -> Column:
     """All slots of a vector as array<double>; in one pass over its sorted entries."""
-    entries, zeros = v["features"], lambda n: F.array_repeat(F.lit(0.0), n)
-    # Each entry with the zeros before it, from the entry before; then the zeros after the last.
-    runs = F.transform(entries, lambda e, i: F.concat(zeros(e["index"] - F.coalesce(F.get(entries, i - 1)["index"], F.lit(-1)) - 1), F.array(e["value"])))
-    last = F.coalesce(F.get(entries, F.size(entries) - 1)["index"], F.lit(-1))
-    return F.when(v.isNotNull(), F.concat(F.flatten(runs), zeros(v["cardinality"] - last - 1)))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+
+    def slots(v: Column, entries: Column) -> Column:
+        # Each entry with the zeros before it, from the entry before; then the zeros after the last.
+        runs = F.transform(entries, lambda e, i: F.concat(zeros(e["index"] - F.coalesce(F.get(entries, i - 1)["index"], F.lit(-1)) - 1), F.array(e["value"])))
+        last = F.coalesce(F.get(entries, F.size(entries) - 1)["index"], F.lit(-1))
+        return F.when(v.isNotNull(), F.concat(F.flatten(runs), zeros(v["cardinality"] - last - 1)))
+
+    return bound(v, lambda v: bound(v["features"], lambda entries: slots(v, entries)))
 
 
 def to_sparse(values: Column) -> Column:
     """A vector of the slots of a numeric array that are neither zero nor null."""
-    pairs = F.transform(values.cast("array<double>"), lambda x, i: F.struct(i.cast("int").alias("index"), x.alias("value")))
-    return F.when(values.isNotNull(), vector(F.size(values), F.filter(pairs, lambda e: e["value"].isNotNull() & (e["value"] != 0))))
+
+    def entries(values: Column) -> Column:
+        pairs = F.transform(values, lambda x, i: F.struct(i.cast("int").alias("index"), x.alias("value")))
+        return F.when(values.isNotNull(), vector(F.size(values), F.filter(pairs, lambda e: e["value"].isNotNull() & (e["value"] != 0))))
+
+    return bound(values.cast("array<double>"), entries)
 
 
 def resized(v: Column, cardinality: int) -> Column:
     """The vector with another cardinality; entries beyond it are dropped."""
-    return F.when(v.isNotNull(), vector(F.lit(cardinality), F.filter(v["features"], lambda e: (e["index"] >= 0) & (e["index"] < cardinality))))
+    return bound(v, lambda v: F.when(v.isNotNull(), vector(F.lit(cardinality), F.filter(v["features"], lambda e: (e["index"] >= 0) & (e["index"] < cardinality)))))
 
 
 def kind_of(df: DataFrame, name: str) -> str:
@@ -98,7 +119,7 @@ def to_vector(df: DataFrame, name: str, cardinality: int | None = None) -> DataF
     if kind == "sparse":
         if cardinality is None:
             raise ValueError("sparse entries alone have no cardinality")
-        column = F.when(column.isNotNull(), vector(F.lit(cardinality), clean(column.cast(ENTRIES))))
+        column = bound(column.cast(ENTRIES), lambda e: F.when(e.isNotNull(), vector(F.lit(cardinality), clean(e))))
     elif kind == "dense":
         column = to_sparse(column)
     return df.withColumn(name, column if cardinality is None else resized(column, cardinality))
@@ -116,4 +137,4 @@ def converted(v: Column, *, dense: bool = False, sparse: bool = False, sequentia
     if dense:
         return to_dense(v).cast(f"array<{number}>")
     entries = f"array<struct<index:int,value:{number}>>"
-    return F.when(v.isNotNull(), (F.array_sort(v["features"]) if sequential else v["features"]).cast(entries))
+    return bound(v, lambda v: F.when(v.isNotNull(), (F.sort_array(v["features"]) if sequential else v["features"]).cast(entries)))

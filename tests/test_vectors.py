@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.errors import SparkRuntimeException
@@ -171,3 +173,20 @@ def test_matrices(spark, tmp_path):
     matrix.save(m, f"{tmp_path}/n", 2, 4)
     with pytest.raises(ValueError):
         matrix.load(spark, f"{tmp_path}/n")
+
+
+def test_conversions_of_a_long_vector(spark):
+    """In time that grows with the entries: a vector of 20,000 goes to dense and back, and its reversed entries are cleaned, within a minute."""
+    n = 20_000
+    df = spark.range(1).select(F.struct(F.lit(2 * n).alias("cardinality"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((2 * i).cast("int").alias("index"), (i + 1).cast("double").alias("value"))).alias("features")).cast(VECTOR).alias("vector"))
+    began = time.time()
+    dense = df.withColumn("vector", converted(F.col("vector"), dense=True))
+    sparse = to_vector(dense, "vector").withColumn("vector", F.reverse(converted(F.col("vector"), sequential=True)))
+    got = to_vector(sparse, "vector", 2 * n).select(F.size("vector.features"), F.aggregate("vector.features", F.lit(0.0), lambda a, e: a + e["value"])).first()
+    assert tuple(got) == (n, n * (n + 1) / 2) and time.time() - began < 60
+
+
+def test_entries_without_an_index_fail(spark):
+    raw = spark.createDataFrame([([(None, 1.0), (1, 2.0)],)], "e array<struct<index:int,value:double>>")
+    with pytest.raises(SparkRuntimeException, match="without an index"):
+        raw.select(clean(F.col("e"))).collect()
