@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +117,12 @@ def test_parts_one_after_another(spark, tmp_path):
     assert side.done() and sorted(map(tuple, side.results().select("part", "n").collect())) == [(0, 4), (1, 3), (2, 3)]
     with pytest.raises(StopIteration):
         side.part()
+
+
+def test_a_long_line(spark):
+    """In time that grows with the fields: 20,000 of them, and of equal keys the last counts, within a minute."""
+    n = 20_000
+    line = F.concat(F.lit("x "), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat_ws(":", (i % 15_000).cast("string"), i.cast("string"))), " "))
+    began = time.time()
+    got = spark.range(1).select(svmlight.parsed(line).alias("p")).select("p.label", F.size("p.features"), F.element_at("p.features", "7"), F.element_at("p.features", "14999")).first()
+    assert tuple(got) == ("x", 15_000, 15_007.0, 14_999.0) and time.time() - began < 60
