@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import small_label
 from ..workspace import small
+from . import blocks
+from .blocks import Blocks
 from .relational import numbered
 
 DEFAULT = "DEFAULT"
@@ -29,6 +35,39 @@ def train(entries: DataFrame) -> DataFrame:
     return entries.groupBy("label", "index").agg(F.sum("value").alias("weight"))
 
 
+def block_train(found: Blocks, labels: DataFrame) -> DataFrame:
+    """(label, index, weight) as train, of the entries of blocks and (id, label); sums leave a block once a label and word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in blocks.parted(batches):
+            place = w = tags = None
+            sums = blocks.Sums()
+            for part, rows in parts:
+                if part == blocks.WORDS:
+                    place, w = blocks.words_of(rows)
+                elif part == blocks.DOCS:
+                    at, tags = zip(*((b.column("at").to_numpy(), b.column("tag")) for b in rows))
+                    at, tags = np.concatenate(at), pa.chunked_array(tags).combine_chunks().dictionary_encode(null_encoding="encode")
+                    order = np.argsort(at, kind="stable")
+                    at, code = at[order], tags.indices.to_numpy()[order].astype(np.int64)
+                elif w is not None and tags is not None:
+                    for c in blocks.chunks_of(rows, place):
+                        lo, hi = np.searchsorted(at, (c.place[0], c.place[-1] + 1)) if len(c.place) else (0, 0)
+                        doc = at[lo:hi] - c.place[0] if hi > lo else np.zeros(0, dtype=np.int64)
+                        size = c.sizes[doc]
+                        entry = np.repeat(c.begin()[doc] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                        if len(entry):
+                            sums.add(np.repeat(code[lo:hi], size) * len(w.index) + c.at[entry], c.value[entry])
+            key, value = sums.get()
+            for i in range(0, len(key), blocks.ROWS):
+                label, at_word = np.divmod(key[i : i + blocks.ROWS], len(w.index))
+                yield pa.record_batch([tags.dictionary.take(pa.array(label)), pa.array(w.index[at_word], pa.int32()), pa.array(value[i : i + blocks.ROWS])], names=["label", "index", "weight"])
+
+    docs = found.places().join(labels, "id")
+    parts = found.meet(run, "label string, index int, weight double", found.side(blocks.WORDS, found.words), found.side(blocks.DOCS, docs, tag=F.col("label").cast("string")))
+    return parts.groupBy("label", "index").agg(F.sum("weight").alias("weight"))
+
+
 def label_weights(model: DataFrame) -> DataFrame:
     return model.groupBy("label").agg(F.sum("weight").alias("weight"))
 
@@ -37,20 +76,52 @@ def feature_weights(model: DataFrame) -> DataFrame:
     return model.groupBy("index").agg(F.sum("weight").alias("weight"))
 
 
-def scores(docs: DataFrame, model: DataFrame, alpha: float = ALPHA) -> DataFrame:
+def scores(docs: DataFrame | Blocks, model: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """(id, label, score) for (id, index, value): sum of value * ln((w + alpha) / (label's weight + alpha * V)).
 
     V: number of features of the model. A feature that a label lacks has weight 0,
-    so only the pairs that the model has are joined, and the rest is a product with
-    the document's total.
+    so only the pairs that the model has go to the blocks that have the feature, and
+    the rest is a product with the document's total.
     """
+    found, base = blocks.of(docs), float(alpha)
     features = model.agg(F.countDistinct("index").alias("v"))
-    base = label_weights(model).crossJoin(features).select("label", (F.lit(float(alpha)) * F.col("v") + F.col("weight")).alias("bottom"))
-    lift = model.select("label", "index", F.log((F.col("weight") + alpha) / F.lit(float(alpha))).alias("lift"))
-    hits = docs.join(lift, "index").groupBy("id", "label").agg(F.sum(F.col("value") * F.col("lift")).alias("lift"))
-    totals = docs.groupBy("id").agg(F.sum("value").alias("total"))
-    pairs = totals.crossJoin(small(base)).join(hits, ["id", "label"], "left")
-    return pairs.select("id", "label", (F.coalesce("lift", F.lit(0.0)) + F.col("total") * F.log(F.lit(float(alpha)) / F.col("bottom"))).alias("score"))
+    bottoms = label_weights(model).crossJoin(features).select("label", (F.lit(base) * F.col("v") + F.col("weight")).alias("p"))
+    lift = model.filter("label is not null").select("label", "index", F.log((F.col("weight") + alpha) / F.lit(base)).alias("p"))
+
+    def scored(held: list, lifts: np.ndarray, bottom: float, label: str | None) -> Iterator[pa.RecordBatch]:
+        for ids, sizes, at, value in held:
+            begin = np.cumsum(sizes) - sizes
+            score = np.add.reduceat(value * lifts[at], begin) + np.add.reduceat(value.astype(float), begin) * np.log(base / bottom)
+            yield blocks.listed(ids, label=pa.array([label] * len(ids), pa.string()), score=score)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in blocks.parted(batches):
+            place, w, held = None, None, []
+            for part, rows in parts:
+                if part == blocks.WORDS:
+                    place, w = blocks.words_of(rows)
+                elif part == blocks.CHUNKS and w is not None:
+                    held = [(c.ids, c.sizes, c.at, blocks.narrow(c.value)) for c in filter(None, map(blocks.nonempty, blocks.chunks_of(rows, place)))]
+                elif part == blocks.AFTER and held:
+                    # A label's first row, before the block's words, has the bottom of its fractions.
+                    label = bottom = lifts = None
+                    for b in rows:
+                        at, p = b.column("at").to_numpy(), blocks.numbers(b, "p")[:, 0]
+                        starts = np.flatnonzero(at < 0)
+                        for lo, hi in zip(np.append(0, starts), np.append(starts, len(at))):
+                            if hi == lo:
+                                continue
+                            if at[lo] < 0:
+                                if lifts is not None:
+                                    yield from scored(held, lifts, bottom, label)
+                                label, bottom, lifts = b.column("tag")[int(lo)].as_py(), p[lo], np.zeros(len(w.index))
+                                lo += 1
+                            lifts[place[at[lo:hi]]] = p[lo:hi]
+                    yield from scored(held, lifts, bottom, label)
+
+    all_blocks = found.chunks.select("block").distinct()
+    known = found.words.join(lift, "index").select("block", "at", "label", "p").unionByName(all_blocks.crossJoin(small(bottoms)).select("block", F.lit(-1).alias("at"), "label", "p"))
+    return found.meet(run, f"id {found.id_type}, label string, score double", found.side(blocks.WORDS, found.words), found.side(blocks.AFTER, known, F.array("p"), F.col("label")))
 
 
 def best(scored: DataFrame, digits: int = 6) -> DataFrame:

@@ -64,7 +64,7 @@ def _pieces(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def _narrow(value: np.ndarray) -> np.ndarray:
+def narrow(value: np.ndarray) -> np.ndarray:
     """Whole numbers as bytes or pairs of bytes where they fit."""
     for kind in (np.uint8, np.uint16):
         if not len(value) or value.min() >= 0 and value.max() <= np.iinfo(kind).max and (value == value.astype(kind)).all():
@@ -126,7 +126,7 @@ def _packed(docs: DataFrame, parts: int, skip: Iterable[str]) -> Callable[[Itera
                 np.add.at(df, at, 1)
                 sizes = np.bincount(row, minlength=hi - lo).astype(np.int32)
                 of = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if kind is None else pa.array(x, kind))
-                yield rows(1, first=pa.array([first], pa.int32()), ids=of(ids[lo:hi], None), sizes=of(sizes, pa.int32()), items=pa.array([at.astype(np.int32).tobytes()], pa.binary()), vals=pa.array([_narrow(value).tobytes()], pa.binary()))
+                yield rows(1, first=pa.array([first], pa.int32()), ids=of(ids[lo:hi], None), sizes=of(sizes, pa.int32()), items=pa.array([at.astype(np.int32).tobytes()], pa.binary()), vals=pa.array([narrow(value).tobytes()], pa.binary()))
                 first, entries = first + hi - lo, entries + len(at)
         if id_type is not None:
             yield from closed()
@@ -150,7 +150,7 @@ def pack(docs: DataFrame, skip: Iterable[str] = ()) -> tuple[DataFrame, DataFram
     return found.filter("first is not null").select("block", "first", "ids", "sizes", "items", "vals"), found.filter("at is not null").select("block", "at", "item", "n", "df")
 
 
-def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, Iterator[pa.RecordBatch]]]]]:
+def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, Iterator[pa.RecordBatch]]]]]:
     """The rows of each block, of each part in its order."""
 
     def runs() -> Iterator[tuple[int, int, pa.RecordBatch]]:
@@ -164,21 +164,21 @@ def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[t
         yield block, ((part, (r[2] for r in same)) for part, same in groupby(found, lambda r: r[1]))
 
 
-def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+def numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
     """A column of arrays of one length, as rows."""
     return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, Words]:
+def words_of(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, Words]:
     """Place of each of the block's words among those that it got, -1 for others; one more for words beyond."""
-    found = [(b.column("at").to_numpy(), b.column("index").to_numpy(), _numbers(b, "p")) for b in batches]
+    found = [(b.column("at").to_numpy(), b.column("index").to_numpy(), numbers(b, "p")) for b in batches]
     at, index, p = (np.concatenate(x) for x in zip(*found))
     place = np.full(at.max() + 2, -1, dtype=np.int32)
     place[at] = np.arange(len(at), dtype=np.int32)
     return place, Words(index, p)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], place: np.ndarray) -> Iterator[Chunk]:
+def chunks_of(batches: Iterator[pa.RecordBatch], place: np.ndarray) -> Iterator[Chunk]:
     """Documents with the entries whose words the block got; those without one too."""
     for batch in batches:
         first, ids, sizes, items, vals = (batch.column(c) for c in ("at", "ids", "sizes", "items", "vals"))
@@ -204,18 +204,23 @@ def nonempty(c: Chunk) -> Chunk | None:
 
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, np.ndarray | None, Iterator[Chunk]]]:
     """Each block's words, what is known of its documents by their places, and its chunks; blocks without a word have none."""
-    for _, parts in _parted(batches):
+    for _, parts in parted(batches):
         place = words = docs = None
         for part, found in parts:
             if part == WORDS:
-                place, words = _words(found)
+                place, words = words_of(found)
             elif part == DOCS:
-                sides = [(b.column("at").to_numpy(), _numbers(b, "p")) for b in found]
+                sides = [(b.column("at").to_numpy(), numbers(b, "p")) for b in found]
                 at, p = (np.concatenate(x) for x in zip(*sides))
-                docs = np.full((at.max() + 1, p.shape[1]), np.nan)
+                docs = np.full((at.max() + 2, p.shape[1]), np.nan)
                 docs[at] = p
             elif part == CHUNKS and words is not None:
-                yield words, docs, _chunks(found, place)
+                yield words, docs, chunks_of(found, place)
+
+
+def about(docs: np.ndarray, c: Chunk) -> np.ndarray:
+    """What is known of each document of a chunk; not a number where nothing is."""
+    return docs[np.minimum(c.place, len(docs) - 1)]
 
 
 def summed(into: np.ndarray, at: np.ndarray, q: np.ndarray) -> None:
@@ -226,6 +231,30 @@ def summed(into: np.ndarray, at: np.ndarray, q: np.ndarray) -> None:
         into[at[order][begin]] += np.add.reduceat(q[order], begin, axis=0)
 
 
+class Sums:
+    """Sums by key of values that come in parts; held once a key, about."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held, self.most = 0, 1 << 21
+
+    def add(self, key: np.ndarray, value: np.ndarray) -> None:
+        self.parts.append(_totals(key, value))
+        self.held += len(self.parts[-1][0])
+        if self.held > self.most:
+            self.parts = [self.get()]
+            self.held = len(self.parts[0][0])
+            self.most = max(self.most, 2 * self.held)
+
+    def get(self) -> tuple[np.ndarray, np.ndarray]:
+        return _totals(*map(np.concatenate, zip(*self.parts))) if self.parts else (np.zeros(0, dtype=np.int64), np.zeros(0))
+
+
+def _totals(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(key, return_inverse=True)
+    return found, np.bincount(at, weights=value, minlength=len(found))
+
+
 def listed(ids: pa.Array, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
     return pa.record_batch([ids, *(x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values())], names=["id", *columns])
 
@@ -255,10 +284,26 @@ class Blocks:
         """(index) of all words."""
         return self.words.select("index").distinct()
 
-    def documents(self) -> DataFrame:
-        """(block, at, id): the place of each document in its block."""
+    def places(self) -> DataFrame:
+        """(block, at, id): the place of each document in its block, of those without entries too."""
         return self.chunks.select("block", "first", F.posexplode("ids").alias("k", "id")).select("block", (F.col("first") + F.col("k")).alias("at"), "id")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """(block, at, id) of the documents with entries."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch_block, parts in parted(batches):
+                place = None
+                for part, found in parts:
+                    if part == WORDS:
+                        place, _ = words_of(found)
+                    elif place is not None:
+                        for c in filter(None, map(nonempty, chunks_of(found, place))):
+                            yield listed(c.ids, block=np.full(len(c.sizes), batch_block, dtype=np.int32), at=c.place.astype(np.int32))
+
+        return kept(self.meet(run, f"id {self.id_type}, block int, at int", self.side(WORDS, self.words)), "documents")
+
     def side(self, part: int, rows: DataFrame, p: Column | None = None, tag: Column | None = None) -> DataFrame:
         """Rows (block, at, ...) as one of the parts that a block gets."""
         got = F.col("index") if "index" in rows.columns else F.lit(None).cast("int")
@@ -287,13 +332,13 @@ class Blocks:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             none = np.full(1, -1, dtype=np.int32), Words(np.zeros(0, dtype=np.int32), np.zeros((0, 0)))
-            for _, parts in _parted(batches):
+            for _, parts in parted(batches):
                 place, w = none
                 for part, found in parts:
                     if part == WORDS:
-                        place, w = _words(found)
+                        place, w = words_of(found)
                     elif part == CHUNKS:
-                        for c in _chunks(found, place):
+                        for c in chunks_of(found, place):
                             index, value, row = w.index[c.at].astype(np.int32), change(c, w), c.row()
                             order = np.lexsort((index, row))
                             order = order[value[order] != 0]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import require_schema
 from . import bayes, logreg
+from .blocks import Blocks
 
 #: Columns of each kind of model.
 KINDS: dict[str, dict[str, str]] = {
@@ -37,11 +38,11 @@ class Classifier:
             value = "n" if kind == "categorical" else "weight"
             self.model = parts.groupBy(*(c for c in parts.columns if c != value)).agg(F.sum(value).alias(value))
 
-    def predict(self, rows: DataFrame) -> DataFrame:
+    def predict(self, rows: DataFrame | Blocks) -> DataFrame:
         """(id, prediction, score) for logistic, else (id, label, score).
 
-        rows: (id, features map<string,double>) for logistic, (id, index, value) for
-        bayes, (id, features map<string,string>) for categorical.
+        rows: (id, features map<string,double>) for logistic, (id, index, value) or Blocks
+        of it for bayes, (id, features map<string,string>) for categorical.
         """
         if self.kind == "logistic":
             return logreg.predict(rows, self.model, self.model.select("member").distinct().count())

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import from_long
+from . import blocks
+from .blocks import Blocks
 from .relational import numbered
 
 TOKEN = "[\\p{L}\\p{N}]+"
@@ -108,17 +112,70 @@ def df_distribution(dfs: DataFrame) -> DataFrame:
     return dfs.agg(F.max("index").alias("max_feature"), F.count("*").alias("num_feature"), F.max("df").alias("max_frequency"), F.sum("df").alias("total_frequency"))
 
 
-def tfidf(freq: DataFrame, total: DataFrame, min_df: int = 1, max_percent: int = 80) -> DataFrame:
-    """(id, index, value): sqrt(tf) * (ln(N / (df + 1)) + 1).
+def idf(dfs: DataFrame, total: DataFrame, min_df: int = 1, max_percent: int = 80) -> DataFrame:
+    """(index, idf) of the terms of (index, df) that count: ln(N / (df + 1)) + 1.
 
     total: one row with the number of documents, N. Terms need min_df documents at
     least and floor(N * max_percent / 100) at most; 0 means no upper limit.
     """
-    weighed = df(freq).crossJoin(F.broadcast(total.toDF("total")))
+    weighed = dfs.crossJoin(F.broadcast(total.toDF("total")))
     most = F.floor(F.col("total") * max_percent / F.lit(100))
     keep = weighed.filter((F.col("df") >= min_df) & ((most == 0) | (F.col("df") <= most)))
-    idf = keep.select("index", (F.log(F.col("total") / (F.col("df") + 1)) + 1).alias("idf"))
-    return freq.join(idf, "index").select("id", "index", (F.sqrt(F.floor("value")) * F.col("idf")).alias("value"))
+    return keep.select("index", (F.log(F.col("total") / (F.col("df") + 1)) + 1).alias("idf"))
+
+
+def tfidf(freq: DataFrame, total: DataFrame, min_df: int = 1, max_percent: int = 80) -> DataFrame:
+    """(id, index, value): sqrt(tf) * idf."""
+    weights = idf(df(freq), total, min_df, max_percent)
+    return freq.join(weights, "index").select("id", "index", (F.sqrt(F.floor("value")) * F.col("idf")).alias("value"))
+
+
+def _weight(c: blocks.Chunk, w: blocks.Words) -> np.ndarray:
+    return np.sqrt(np.floor(c.value)) * w.p[c.at, 0]
+
+
+def block_tfidf(found: Blocks, weights: DataFrame) -> DataFrame:
+    """(id, index, value) as tfidf, from blocks and (index, idf)."""
+    return found.entries(_weight, found.words.join(weights, "index"), F.array("idf"))
+
+
+def block_tfidf_vectors(found: Blocks, weights: DataFrame, cardinality: int) -> DataFrame:
+    """(id, vector) of all documents; those without a weighed term have no entries."""
+    return found.vectors(cardinality, _weight, found.words.join(weights, "index"), F.array("idf"))
+
+
+def block_top_terms(found: Blocks, weights: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """(id, rank, term, value) as top_terms of block_tfidf. Only what may be among the k heaviest leaves a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w, _, chunks in blocks.met(batches):
+            for c in filter(None, map(blocks.nonempty, chunks)):
+                value, row = _weight(c, w), c.row()
+                order = np.lexsort((-value, row))
+                least = value[order][c.begin() + np.minimum(c.sizes, k) - 1]
+                keep = value >= least[row] - 2e-6  # rounding may make equal what differs by 1e-6
+                offsets = np.append(0, np.cumsum(np.bincount(row[keep], minlength=len(c.sizes)))).astype(np.int32)
+                entries = pa.StructArray.from_arrays([pa.array(w.index[c.at[keep]], pa.int32()), pa.array(value[keep])], names=["index", "value"])
+                yield blocks.listed(c.ids, best=pa.ListArray.from_arrays(pa.array(offsets), entries))
+
+    best = found.meet(run, f"id {found.id_type}, best array<struct<index:int,value:double>>", found.side(blocks.WORDS, found.words.join(weights, "index"), F.array("idf")))
+    ranked = F.slice(F.sort_array(F.transform("best", lambda e: F.struct((-F.round(e["value"], 6)).alias("value"), e["index"].alias("index")))), 1, k)
+    rows = best.select("id", F.posexplode(ranked).alias("rank", "e")).select("id", (F.col("rank") + 1).alias("rank"), F.col("e.index").alias("index"), (-F.col("e.value")).alias("value"))
+    return rows.join(terms, "index").select("id", "rank", "term", "value")
+
+
+def block_rows(found: Blocks, rows: DataFrame) -> DataFrame:
+    """(id, index, value): entries under the numbers of (id, row) instead of their ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w, docs, chunks in blocks.met(batches):
+            for c in filter(None, map(blocks.nonempty, chunks) if docs is not None else ()):
+                number = blocks.about(docs, c)[c.row(), 0]
+                some = ~np.isnan(number)
+                yield blocks.listed(pa.array(number[some].astype(np.int32)), index=w.index[c.at[some]].astype(np.int32), value=c.value[some])
+
+    places = found.places().join(rows, "id")
+    return found.meet(run, "id int, index int, value double", found.side(blocks.WORDS, found.words), found.side(blocks.DOCS, places, F.array(F.col("row").cast("double"))))
 
 
 def row_ids(names: DataFrame, name: str = "name") -> DataFrame:

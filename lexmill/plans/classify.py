@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import label_of, unit_draw
 from ..operators import bayes, classifier, logreg, text
+from ..operators.blocks import Blocks
 from ..workspace import kept, new_path, small, spread
 from .common import CORPUS_SQL, Corpus, table
 
@@ -37,9 +38,9 @@ def label_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bayes.label_names(spark.range(10).select(F.col("id").cast("int").alias("index")), label_index(spark, sf_dir))
 
 
-def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    freq, labels = Corpus(spark, sf_dir).freq, label_extract(spark, sf_dir)
-    return freq, labels, kept(bayes.train(freq.join(labels, "id")), "model")
+def _model(spark: SparkSession, sf_dir: str) -> tuple[Blocks, DataFrame, DataFrame]:
+    found, labels = Corpus(spark, sf_dir).blocks, label_extract(spark, sf_dir)
+    return found, labels, kept(bayes.block_train(found, labels), "model")
 
 
 def stdnb_train(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,13 +56,13 @@ def stdnb_feature_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stdnb_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    freq, _, model = _model(spark, sf_dir)
-    return bayes.scores(freq, model).withColumn("score", F.round("score", 4))
+    found, _, model = _model(spark, sf_dir)
+    return bayes.scores(found, model).withColumn("score", F.round("score", 4))
 
 
 def stdnb_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    freq, _, model = _model(spark, sf_dir)
-    return bayes.best(bayes.scores(freq, model), 4)
+    found, _, model = _model(spark, sf_dir)
+    return bayes.best(bayes.scores(found, model), 4)
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,11 +138,11 @@ def _fixed(spark: SparkSession) -> DataFrame:
 
 def stored_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trained on two halves of the documents, each stored, and loaded as one model."""
-    freq, labels = Corpus(spark, sf_dir).freq, label_extract(spark, sf_dir)
+    found, labels = Corpus(spark, sf_dir).blocks, label_extract(spark, sf_dir)
     path = new_path(spark, "stored")
     for half in (0, 1):
-        classifier.save(bayes.train(freq.filter(F.pmod("id", F.lit(2)) == half).join(labels, "id")), path, "bayes")
-    return classifier.Classifier(spark, path, "bayes").predict(freq)
+        classifier.save(bayes.block_train(found, labels.filter(F.pmod("id", F.lit(2)) == half)), path, "bayes")
+    return classifier.Classifier(spark, path, "bayes").predict(found)
 
 
 def stored_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import kmeans, lda, plsi
+from ..operators.blocks import Blocks
 from ..sources import files
 from ..workspace import kept, new_path
 from .common import CORPUS_SQL, Corpus, table
@@ -39,8 +40,8 @@ def kmeans_two_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(kmeans.rounds(_points(spark, sf_dir), K, DIM, 2)[1])
 
 
-def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Corpus(spark, sf_dir).freq
+def _counts(spark: SparkSession, sf_dir: str) -> Blocks:
+    return Corpus(spark, sf_dir).blocks
 
 
 def plsi_sym_step(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,23 +79,23 @@ def plsi_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lda_train_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = Corpus(spark, sf_dir).blocks
+    n = _counts(spark, sf_dir)
     rows = lda.train(n, lda.initial(n, LDA), LDA).select("index", F.posexplode("counts").alias("topic", "value"))
     return rows.withColumn("value", F.round("value", 4))
 
 
 def lda_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = Corpus(spark, sf_dir).blocks
+    n = _counts(spark, sf_dir)
     return lda.perplexity(n, lda.initial(n, LDA), LDA).select("id", "words", F.round("loss", 4).alias("loss"))
 
 
 def lda_loss_per_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = Corpus(spark, sf_dir).blocks
+    n = _counts(spark, sf_dir)
     return lda.loss_per_word(lda.perplexity(n, lda.initial(n, LDA), LDA)).select(F.round("loss_per_word", 6).alias("loss_per_word"))
 
 
 def lda_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = Corpus(spark, sf_dir).blocks
+    n = _counts(spark, sf_dir)
     return lda.inference(n, lda.initial(n, LDA), LDA).select("id", F.posexplode("shares").alias("topic", "value")).withColumn("value", F.round("value", 5))
 
 

@@ -65,8 +65,9 @@ class Corpus:
         chunks, words = self.packed
         return Blocks(chunks, kept(words.select("block", "at", F.col("item").alias("term")).join(self.terms, "term").select("block", "at", "index"), "words"))
 
-    @cached_property
+    @property
     def freq(self) -> DataFrame:
+        """(id, index, value): a row an entry."""
         return self.blocks.entries()
 
     def of_rows(self, vectors: DataFrame) -> DataFrame:

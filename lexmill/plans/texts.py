@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import text
-from ..schema import to_long
-from ..workspace import spread
+from ..workspace import kept, spread
 from .common import CORPUS_SQL, MIN_SUPPORT, Corpus, table
 
 TOP = 10
@@ -17,25 +16,26 @@ def corpus_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").agg(F.count("text").alias("total"))
 
 
-def weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def weights(spark: SparkSession, sf_dir: str) -> tuple[Corpus, DataFrame]:
+    """The corpus, and (index, idf) of its terms."""
     c = Corpus(spark, sf_dir)
-    return text.tfidf(c.freq, corpus_total(spark, sf_dir)), c.terms
+    return c, text.idf(c.weighed.select("index", "df"), corpus_total(spark, sf_dir))
 
 
 def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w, terms = weights(spark, sf_dir)
-    return text.top_terms(w, terms, TOP)
+    c, idf = weights(spark, sf_dir)
+    return text.block_top_terms(c.blocks, idf, c.terms, TOP)
 
 
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w, _ = weights(spark, sf_dir)
-    return w.select("id", "index", F.round("value", 6).alias("value"))
+    c, idf = weights(spark, sf_dir)
+    return text.block_tfidf(c.blocks, idf).withColumn("value", F.round("value", 6))
 
 
 def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector for every document, those without a weighed term too."""
-    c = Corpus(spark, sf_dir)
-    got = _described(text.vectors_of(text.tfidf(c.freq, corpus_total(spark, sf_dir)), c.docs.select(F.col("doc_id").alias("id")), c.terms.count()))
+    c, idf = weights(spark, sf_dir)
+    got = _described(c.of_rows(text.block_tfidf_vectors(c.blocks, idf, c.terms.count())))
     return got.withColumn("total", F.round("total", 4))
 
 
@@ -48,12 +48,12 @@ def analyzers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_tf_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum of all term frequencies."""
-    return Corpus(spark, sf_dir).freq.agg(F.sum("value").alias("total"))
+    return Corpus(spark, sf_dir).totals.agg(F.sum(F.col("n").cast("double")).alias("total"))
 
 
 def df_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequencies of two halves of the corpus, merged."""
-    freq = Corpus(spark, sf_dir).freq
+    freq = kept(Corpus(spark, sf_dir).freq, "tf")
     return text.df_merged(*(text.df(freq.filter(F.pmod("id", F.lit(2)) == k)) for k in (0, 1)))
 
 
@@ -76,7 +76,7 @@ def tf_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Corpus(spark, sf_dir)
-    return _described(text.vectors_of(c.freq, c.docs.select(F.col("doc_id").alias("id")), c.terms.count()))
+    return _described(c.of_rows(c.blocks.vectors(c.terms.count())))
 
 
 def _described(vectors: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def _described(vectors: DataFrame) -> DataFrame:
 
 
 def df_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.df(Corpus(spark, sf_dir).freq)
+    return Corpus(spark, sf_dir).weighed.select("index", "df")
 
 
 def df_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +101,8 @@ def row_ids_docindex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def row_ids_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Corpus(spark, sf_dir)
-    named = text.vectors_of(c.freq, c.docs.select(F.col("doc_id").alias("id")), c.terms.count()).withColumn("name", F.col("id").cast("string")).select("name", "vector")
-    return to_long(named.join(_names(spark, sf_dir), "name").select("id", "vector"))
+    names = _names(spark, sf_dir).select(F.col("name").cast("bigint").alias("id"), F.col("id").alias("row"))
+    return text.block_rows(c.blocks, names)
 
 
 QUERIES = {f.__name__: f for f in (tfidf_top_terms, tfidf, tfidf_vectors, analyzers, corpus_tf_sum, df_merged, tokens, term_min_support, dict_encode, tf_long, tf_vectors, df_table, df_distribution, corpus_total, row_ids_docindex, row_ids_matrix)}

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill import catalogue
-from lexmill.operators import blocks, lda
+from lexmill.operators import bayes, blocks, lda, plsi
 
 DOCS, TERMS, LENGTH = 3000, 60, 60
 FREQ = "id int, index int, value double"
@@ -34,7 +34,7 @@ def shuffled(spark):
 
 
 #: Queries of the corpus whose results aren't a row an entry.
-WHOLE = ["lda_resumed", "lda_train_step", "lda_perplexity", "lda_loss_per_word", "lda_inference", "topic_counts", "topic_titles", "topic_keywords"]
+WHOLE = ["lda_resumed", "lda_train_step", "lda_perplexity", "lda_loss_per_word", "lda_inference", "topic_counts", "topic_titles", "topic_keywords", "tfidf_vectors", "tfidf_top_terms", "tf_vectors", "row_ids_matrix", "plsi_likelihood", "plsi_posterior", "plsi_sym_step", "accuracy_match", "stdnb_confusion", "stored_bayes", "stdnb_classify"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -78,3 +78,29 @@ def test_rows_of_one_id_are_one_document(spark, tmp_path):
     assert entries == {(1, 1): 2.0, (1, 2): 1.0, (2, 0): 2.0, (2, 2): 1.0}
     vectors = sorted((x["id"], x["n_entries"], x["total"]) for x in catalogue.QUERIES["tf_vectors"](spark, str(tmp_path)).collect())
     assert vectors == [(1, 2, 3.0), (1, 2, 3.0), (2, 2, 3.0)]
+
+
+def test_bayes_of_blocks(spark, monkeypatch):
+    """A document with two labels counts for both, one without for none; a null label has no words of its own."""
+    monkeypatch.setattr(blocks, "BLOCK_ENTRIES", 4)
+    monkeypatch.setattr(blocks, "CHUNK", 3)
+    freq = spark.createDataFrame([(1, 0, 2.0), (1, 1, 1.0), (2, 0, 1.0), (3, 2, 4.0), (4, 1, 1.0), (5, 3, 7.0)], FREQ)
+    labels = spark.createDataFrame([(1, "x"), (1, "y"), (2, "y"), (3, None), (4, "x")], "id int, label string")
+    found = blocks.of(freq)
+    model = bayes.block_train(found, labels).cache()
+    assert {(r["label"], r["index"]): r["weight"] for r in model.collect()} == {("x", 0): 2.0, ("x", 1): 2.0, ("y", 0): 3.0, ("y", 1): 1.0, (None, 2): 4.0}
+    got = {(r["id"], r["label"]): r["score"] for r in bayes.scores(found, model).collect()}
+    weight = {"x": {0: 2, 1: 2}, "y": {0: 3, 1: 1}, None: {}}
+    want = {(i, lab): sum(r["value"] * np.log((w.get(r["index"], 0) + 1) / (4 + 3)) for r in freq.collect() if r["id"] == i) for i in range(1, 6) for lab, w in weight.items()}
+    assert got == pytest.approx(want)
+
+
+def test_plsi_of_blocks(spark, monkeypatch):
+    """Words and documents without parameters are left out, and so are pairs of probability zero."""
+    monkeypatch.setattr(blocks, "CHUNK", 3)
+    freq = spark.createDataFrame([(1, 0, 2.0), (1, 1, 1.0), (2, 0, 3.0), (2, 2, 1.0), (3, 1, 4.0), (4, 9, 1.0)], FREQ)
+    w = spark.createDataFrame([(0, 0.5, 0.0), (1, 0.0, 0.5), (2, 0.25, 0.25)], "index int, t0 double, t1 double")
+    d = spark.createDataFrame([(1, 0.5, 0.0), (2, 0.5, 0.5)], "id int, t0 double, t1 double")
+    got = {(r["id"], r["index"]): (r["t0"], r["t1"]) for r in plsi.expected(freq, w, d, None, 2).collect()}
+    assert got == {(1, 0): (2.0, 0.0), (1, 1): (0.0, 0.0), (2, 0): (3.0, 0.0), (2, 2): (0.5, 0.5)}
+    assert plsi.likelihood(freq, w, d, None, 2).first()[0] == pytest.approx(5 * np.log(0.25) + np.log(0.25))
