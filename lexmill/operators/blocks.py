@@ -24,7 +24,7 @@ from ..schema import VECTOR
 from ..workspace import kept, small_batches
 
 #: Documents of a block, about; entries and words from which a block is closed before.
-BLOCK_DOCS, BLOCK_ENTRIES, BLOCK_WORDS = 48_000, 16_000_000, 1_000_000
+BLOCK_DOCS, BLOCK_ENTRIES, BLOCK_WORDS = 24_000, 8_000_000, 600_000
 #: Entries of a chunk, about, and rows of words in an Arrow batch.
 CHUNK, ROWS = 1 << 15, 1 << 16
 #: Order of what a block gets: its words, what is known of its documents, their chunks, and what comes after.
@@ -72,6 +72,15 @@ def narrow(value: np.ndarray) -> np.ndarray:
     return value.astype(np.float64)
 
 
+def _planes(at: np.ndarray) -> bytes:
+    """Differences of places, their first bytes before all second ones and so on: small ones leave planes of zeros, which pack well."""
+    return np.diff(at.astype(np.int32), prepend=np.int32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplaned(data: pa.Buffer) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T.copy().view(np.int32)[:, 0], dtype=np.int32)
+
+
 def _packed(docs: DataFrame, parts: int, skip: Iterable[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     counted, skip = "values" not in docs.columns, tuple(skip)
 
@@ -126,7 +135,7 @@ def _packed(docs: DataFrame, parts: int, skip: Iterable[str]) -> Callable[[Itera
                 np.add.at(df, at, 1)
                 sizes = np.bincount(row, minlength=hi - lo).astype(np.int32)
                 of = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if kind is None else pa.array(x, kind))
-                yield rows(1, first=pa.array([first], pa.int32()), ids=of(ids[lo:hi], None), sizes=of(sizes, pa.int32()), items=pa.array([at.astype(np.int32).tobytes()], pa.binary()), vals=pa.array([narrow(value).tobytes()], pa.binary()))
+                yield rows(1, first=pa.array([first], pa.int32()), ids=of(ids[lo:hi], None), sizes=of(sizes, pa.int32()), items=pa.array([_planes(at)], pa.binary()), vals=pa.array([narrow(value).tobytes()], pa.binary()))
                 first, entries = first + hi - lo, entries + len(at)
         if id_type is not None:
             yield from closed()
@@ -184,7 +193,7 @@ def chunks_of(batches: Iterator[pa.RecordBatch], place: np.ndarray) -> Iterator[
         first, ids, sizes, items, vals = (batch.column(c) for c in ("at", "ids", "sizes", "items", "vals"))
         for i in range(batch.num_rows):
             n = sizes[i].values.to_numpy()
-            at = np.frombuffer(items[i].as_buffer(), dtype=np.int32)
+            at = _unplaned(items[i].as_buffer())
             kind = {1: np.uint8, 2: np.uint16, 8: np.float64}[vals[i].as_buffer().size // max(len(at), 1) or 1]
             at, value = place[np.minimum(at, len(place) - 1)], np.frombuffer(vals[i].as_buffer(), dtype=kind).astype(np.float64)
             keep = at >= 0

@@ -11,7 +11,7 @@ from ..operators import blocks, text
 from ..operators.blocks import Blocks
 from ..operators.relational import numbered
 from ..schema import from_long
-from ..workspace import kept, small
+from ..workspace import freed, kept, small
 
 #: Least occurrences of a dictionary's terms.
 MIN_SUPPORT = 2
@@ -49,12 +49,15 @@ class Corpus:
     def totals(self) -> DataFrame:
         """(term, n, df): occurrences in all documents, and documents, of the dictionary's terms."""
         sums = self.packed[1].groupBy(F.col("item").alias("term")).agg(F.sum("n").cast("bigint").alias("n"), F.sum("df").alias("df"))
-        return kept(sums.filter(F.col("n") >= MIN_SUPPORT), "totals")  # ranges are sampled before they are dealt
+        with freed(self.docs.sparkSession):
+            return kept(sums.filter(F.col("n") >= MIN_SUPPORT), "totals")  # ranges are sampled before they are dealt
 
     @cached_property
     def weighed(self) -> DataFrame:
         """(term, df, index)."""
-        return kept(numbered(self.totals.select("term", "df"), "term"), "terms")
+        totals = self.totals.select("term", "df")
+        with freed(self.docs.sparkSession):
+            return kept(numbered(totals, "term"), "terms")
 
     @cached_property
     def terms(self) -> DataFrame:
@@ -63,7 +66,9 @@ class Corpus:
     @cached_property
     def blocks(self) -> Blocks:
         chunks, words = self.packed
-        return Blocks(chunks, kept(words.select("block", "at", F.col("item").alias("term")).join(self.terms, "term").select("block", "at", "index"), "words"))
+        known = words.select("block", "at", F.col("item").alias("term")).join(self.terms, "term").select("block", "at", "index")
+        with freed(self.docs.sparkSession):
+            return Blocks(chunks, kept(known, "words"))
 
     @property
     def freq(self) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.relational import numbered
 from ..schema import VECTOR, require_schema, require_vector, resized, type_named
+from ..workspace import freed
 
 
 def _fs(spark: SparkSession, path: str):
@@ -107,7 +108,8 @@ class RollingStore:
 
     def save(self, df: DataFrame) -> int:
         n = self.last() + 1
-        df.write.mode("overwrite").parquet(self.path(n))
+        with freed(self.spark):
+            df.write.mode("overwrite").parquet(self.path(n))
         if self.keep:
             for old in self.iterations()[: -self.keep]:
                 fs, p = _fs(self.spark, self.path(old))

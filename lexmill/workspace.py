@@ -82,6 +82,18 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """What queries within have shuffled is deleted as each ends, not when the driver next collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def swept(spark: SparkSession) -> Iterator[None]:
     """Deletes, at its end, all that kept() writes within."""

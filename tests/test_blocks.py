@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from lexmill import catalogue
 from lexmill.operators import bayes, blocks, lda, plsi
+from lexmill.plans.common import Corpus
+from lexmill.sources import files
+from lexmill.workspace import new_path
 
 DOCS, TERMS, LENGTH = 3000, 60, 60
 FREQ = "id int, index int, value double"
@@ -104,3 +107,16 @@ def test_plsi_of_blocks(spark, monkeypatch):
     got = {(r["id"], r["index"]): (r["t0"], r["t1"]) for r in plsi.expected(freq, w, d, None, 2).collect()}
     assert got == {(1, 0): (2.0, 0.0), (1, 1): (0.0, 0.0), (2, 0): (3.0, 0.0), (2, 2): (0.5, 0.5)}
     assert plsi.likelihood(freq, w, d, None, 2).first()[0] == pytest.approx(5 * np.log(0.25) + np.log(0.25))
+
+
+def test_what_an_iteration_shuffled_is_freed(spark, corpus):
+    """Its shuffle files go when it is committed, and the session's setting is as before."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, c = spark.conf.get(name, "false"), Corpus(spark, corpus[0])
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    known = lambda: tracker.shuffleStatuses().size()
+    found, p = c.blocks, lda.Params(topics=2, doc_iterations=1)
+    store = files.RollingStore(spark, new_path(spark, "lda"))
+    model, held = lda.train(found, lda.randomly(found, p), p), known()
+    store.save(model)
+    assert known() <= held and spark.conf.get(name, "false") == before
